@@ -315,26 +315,31 @@ def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decode
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
-def digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_tokens, ids_sha256, decoded_sha256 and n_bytes decoded, of the ids and of what they decode to."""
+def digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
+    """Per row: key, columns of ``keep``, n_tokens, ids_sha256, decoded_sha256 and n_bytes of what the ids decode to; the ids if asked for."""
     small_batches(docs.sparkSession)
+    front = [key, *keep]
+    spot = len(front)
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("n_bytes", T.LongType())]
+    if with_ids:
+        added.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(batch.column(1)):
+            for a, b in chunks(batch.column(spot)):
                 use, part = codec(path), batch.slice(a, b - a)
-                flat, at, word_at = use.encode(part.column(1))
+                flat, at, word_at = use.encode(part.column(spot))
                 decoded, little = use.decode(flat, at, word_at), flat.astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(np.diff(at)),
-                        pa.array([hashlib.sha256(little[i:j]).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)], pa.string()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
-                        pa.array([len(x) for x in decoded], pa.int64()),
-                    ],
-                    names=[key, "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"],
-                )
-
-    kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_bytes bigint")
+                cells = [
+                    *part.columns[:spot],
+                    pa.array(np.diff(at)),
+                    pa.array([hashlib.sha256(little[i:j]).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+                    pa.array([len(x) for x in decoded], pa.int64()),
+                ]
+                if with_ids:
+                    cells.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(cells, names=[*front, *(f.name for f in added)])
+
+    rows = docs.select(*front, text)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:spot], *added]))

@@ -157,13 +157,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
     names, log_p = model
     sent = spark.sparkContext.broadcast(log_p)  # MOST_LANGUAGES x BUCKETS floats at most: 16 MB
     n = 1 + len(keep)
+    read = [key, *keep] if text in keep else [key, *keep, text]
+    spot = read.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
-            for a, b in chunks(batch.column(n), 2 << 20):
+            for a, b in chunks(batch.column(spot), 2 << 20):
                 part = batch.slice(a, b - a)
-                texts = pc.fill_null(part.column(n), "")
+                texts = pc.fill_null(part.column(spot), "")
                 letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
                 known = letters & bool(names)
                 w = infer(texts, table)
@@ -175,7 +177,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
 
     kinds = dict(docs.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep))
-    return docs.select(key, *keep, text).mapInArrow(run, f"{fields}, lang_pred string, score double, lang_set array<string>")
+    return docs.select(*read).mapInArrow(run, f"{fields}, lang_pred string, score double, lang_set array<string>")
 
 
 def crc_held_out(doc_id: int) -> bool:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, line_dedup, media, mixing, quality, warc
+from . import bpe, chat, jaccard_join, langid, line_dedup, media, mixing, quality, substring_dedup, warc
 from .shared import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = warc.write(read_table(spark, sf_dir, "pages"))
     return warc.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
@@ -45,6 +49,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(read_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -63,7 +71,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_warc, op4_mixing, op5_media_columns, op6_quality_rules, op8_byte_bpe, op9_chat_formatting, op10_language_id)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op3_warc, op4_mixing, op5_media_columns, op6_quality_rules, op7_ngram_jaccard_join, op8_byte_bpe, op9_chat_formatting, op10_language_id)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"

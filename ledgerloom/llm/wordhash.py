@@ -118,3 +118,31 @@ def grams(h: np.ndarray, k: int, base: int = GRAM_BASE) -> np.ndarray:
         total = np.cumsum(np.concatenate((np.zeros(1, dtype=np.uint64), part * p)), dtype=np.uint64)
         out[first:last] = (total[k:] - total[:-k]) * inv[: last - first]
     return mix(out)
+
+
+def hash_slices(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = GRAM_BASE_2, piece: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each slice ``h[start:end]``; slices are in order of their starts and may overlap."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    first = 0
+    while first < len(starts):
+        low = int(starts[first])
+        last = max(first + 1, int(np.searchsorted(starts, low + piece, "right")))
+        high = int(ends[first:last].max())
+        p, inv = powers(base, max(high - low, 1))
+        total = np.cumsum(np.concatenate((np.zeros(1, dtype=np.uint64), h[low:high] * p[: high - low])), dtype=np.uint64)
+        s, e = starts[first:last] - low, ends[first:last] - low
+        out[first:last] = (total[e] - total[s]) * inv[np.minimum(s, len(inv) - 1)]
+        first = last
+    return mix(out + (ends - starts).astype(np.uint64))
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours, by doubling."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return x[:0]
+    size, out = 1, x
+    while size * 2 <= width:
+        out = np.minimum(out[:-size], out[size:])
+        size *= 2
+    return np.minimum(out[:n], out[width - size : width - size + n]) if size < width else out[:n]
