@@ -36,7 +36,11 @@ ACCOUNT_TOTAL_LABELS = ["total value", "total market value"]
 
 def source_column(field: str, names: Column, sources: dict[str, list[str]] = FIELD_SOURCES) -> Column:
     """The first column of ``names`` that matches the field's best pattern."""
-    return F.coalesce(*[F.get(F.filter(names, lambda n, p=p: F.rlike(n, F.lit(p))), F.lit(0)) for p in sources[field]])
+
+    def first(pattern: str) -> Column:
+        return F.get(F.filter(names, lambda n: F.rlike(n, F.lit(pattern))), F.lit(0))
+
+    return F.coalesce(*[first(p) for p in sources[field]])
 
 
 def collapse_lots(rows: DataFrame) -> DataFrame:

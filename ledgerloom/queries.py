@@ -163,14 +163,14 @@ def line_grouping_anchored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT user_id, value AS x1, value - 5 AS x0 FROM events WHERE value IS NOT NULL),
+WITH t AS (SELECT user_id, floor(value) AS x1, floor(value) - 5 AS x0 FROM events WHERE value IS NOT NULL),
 f AS (SELECT *, coalesce(x1 - lag(x1) OVER (PARTITION BY user_id ORDER BY x1, x0) > 8, false)::INT AS brk FROM t),
 c AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY x1, x0 ROWS UNBOUNDED PRECEDING) AS c FROM f),
 b AS (SELECT user_id, c, min(x0) - 3 AS a, max(x1) + 3 AS b, count(*)::BIGINT AS n FROM c GROUP BY user_id, c HAVING count(*) >= 2),
 w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, b) - 1 AS band, lag(b) OVER (PARTITION BY user_id ORDER BY a, b) AS pb, lead(a) OVER (PARTITION BY user_id ORDER BY a, b) AS na FROM b)
 SELECT user_id, band::INT AS band, round(coalesce((pb + a) / 2, a), 1) AS x0, round(coalesce((b + na) / 2, b), 1) AS x1, n FROM w""")
 def column_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = _t(spark, sf, "events").filter("value is not null").select("user_id", (F.col("value") - 5).alias("x0"), F.col("value").alias("x1"))
+    tokens = _t(spark, sf, "events").filter("value is not null").select("user_id", (F.floor("value") - F.lit(5.0)).alias("x0"), F.floor("value").cast("double").alias("x1"))
     return ordered.column_bands(tokens, ["user_id"]).select("user_id", "band", F.round("x0", 1).alias("x0"), F.round("x1", 1).alias("x1"), "n")
 
 
