@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -194,6 +194,7 @@ def postings(packed: DataFrame) -> DataFrame:
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         end = np.concatenate((begin[1:], [len(key)]))
         keep = np.repeat(ids[begin] != ids[end - 1], end - begin)
+        keep[1:] &= (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])  # a row may come twice
         return table(key[keep], ids[keep], n[keep], pos[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,6 +244,17 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Length and positional filters on two postings (columns n and pos with these suffixes) of one shingle.
+
+    Of the shingles that two sets share, the first one stands so early in both that enough are left after it;
+    a pair is made there, and not where later shingles meet.
+    """
+    length = F.expr(f"100 * n{x} >= {percent} * n{y} and 100 * n{y} >= {percent} * n{x}")
+    need = F.expr(f"(cast({percent} as bigint) * (n{x} + n{y}) + {99 + percent}) div {100 + percent}")
+    return length & (F.least(F.expr(f"n{x} - pos{x}"), F.expr(f"n{y} - pos{y}")) >= need)
+
+
 def candidates(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b), a > b, of documents of different components that share a prefix shingle and pass the filters.
 
@@ -254,11 +266,8 @@ def candidates(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = found.join(mixed, "token")
     x = lists.filter("component <> base").select("token", "base", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "component")))
     y = lists.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "component")))
-    length = (100 * F.col("n_x") >= percent * F.col("n_y")) & (100 * F.col("n_y") >= percent * F.col("n_x"))
-    need = F.expr(f"(cast({percent} as bigint) * (n_x + n_y) + {99 + percent}) div {100 + percent}")
-    reach = F.least("pos_x", "pos_y") + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
     once = (F.col("component_y") == F.col("base")) | (F.col("id_x") > F.col("id_y"))
-    joined = x.join(y, (x["token"] == y["token"]) & (F.col("component_x") != F.col("component_y")) & length & (reach >= need) & once)
+    joined = x.join(y, (x["token"] == y["token"]) & (F.col("component_x") != F.col("component_y")) & may_link("_x", "_y", percent) & once)
     return joined.groupBy(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
@@ -276,11 +285,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     packed = prefixes(rows.filter("id is not null"), levels, buckets, words, percent, bits, frequent)
     reps = members.filter("id = class_id and n > 0").select("id").distinct()
     found = postings(packed).join(reps, "id", "left_semi")
-    spread = materialise(found.distinct(), "postings")
-    leads = spread.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token", "low")
-    spread = materialise(spread.join(leads, "token").select("token", "id", "n", "pos", "low"), "shared-postings")
+    spread = materialise(found, "postings")
+    leads = spread.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("l"), F.max("id").alias("high")).filter("l.id < high")
+    leads = leads.select("token", F.col("l.id").alias("low"), F.col("l.n").alias("n_l"), F.col("l.pos").alias("pos_l"))
+    spread = materialise(spread.join(leads, "token"), "shared-postings")
     texts = materialise(rows.join(spread.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
-    first = spread.filter("id <> low").groupBy("id", "low").agg(F.count(F.lit(1)).alias("shared")).groupBy("id").agg(F.max_by("low", F.struct("shared", "low")).alias("low"))
+    first = spread.filter(F.expr("id <> low") & may_link("", "_l", percent)).groupBy("id", "low").agg(F.count(F.lit(1)).alias("shared")).groupBy("id").agg(F.max_by("low", F.struct("shared", "low")).alias("low"))
     tried = materialise(first.select(F.col("id").alias("a"), F.col("low").alias("b")), "leader-pairs")
     links = materialise(verify(tried, texts, words, percent), "links")
     comps = materialise(components(links), "components")
