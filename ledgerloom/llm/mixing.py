@@ -16,7 +16,7 @@ repeated rows are rows of their own; an empty table gives an empty one; extra co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import free_name, materialise
@@ -27,6 +27,11 @@ BLOCK_ROWS, PERIOD, ALPHA, RANGE_ROWS, MOST_SOURCES = 16, 1024, 0.5, 2048, 4096
 _HASH_BITS = 30
 
 
+def _order_hash(key: Column) -> Column:
+    """60 bits that fix a source's order; a null key comes first."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")
+
+
 def shares(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, alpha: float = ALPHA, period: int = PERIOD) -> DataFrame:
     """Per source: rows n and integer share of a period; default weights are sizes to the power ``alpha``."""
     sizes = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("src")).agg(F.count(F.lit(1)).alias("n"))
@@ -72,8 +77,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: d
     ends = last.join(slots.select("src", "turn", "slot", "period"), "src").filter("turn = block % share").select(F.expr("(block div share) * period + slot").alias("slot"))
     horizon = ends.agg(F.min("slot")).first()[0]
     known = share_rows.select(F.col("src").alias(src), F.greatest(F.lit(1), F.expr(f"(n + {RANGE_ROWS - 1}) div {RANGE_ROWS}")).alias(f"{rng}s"), F.col("share").alias(f"{src}_share"))
-    placed = docs.withColumn(src, F.coalesce(F.col(source), F.lit(""))).withColumn(h, F.xxhash64(F.col(key).cast("string"), F.lit(7)))
-    placed = placed.join(known, src).withColumn(rng, F.shiftright(F.shiftrightunsigned(F.col(h), 64 - _HASH_BITS) * F.col(f"{rng}s"), _HASH_BITS))
+    placed = docs.withColumn(src, F.coalesce(F.col(source), F.lit(""))).withColumn(h, _order_hash(F.col(key)))
+    placed = placed.join(known, src).withColumn(rng, F.shiftright(F.shiftright(F.col(h), 60 - _HASH_BITS) * F.col(f"{rng}s"), _HASH_BITS))
     sizes = placed.groupBy(src, rng).agg(F.count(F.lit(1)).alias(f"{rng}_n"))
     before = sizes.withColumn(f"{rng}_before", F.sum(f"{rng}_n").over(Window.partitionBy(src).orderBy(rng)) - F.col(f"{rng}_n")).drop(f"{rng}_n")
     inside = Window.partitionBy(src, rng).orderBy(h, key)

@@ -86,12 +86,36 @@ marked AS (SELECT k.*, g.line IS NOT NULL AS removed FROM keyed k LEFT JOIN gone
 kept AS (SELECT r, count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (removed) AS n_removed,
   coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (NOT removed), '') AS body FROM marked GROUP BY r)
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(body) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)""",
+    "op2_substring_dedup": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(words[i : i + 49], ' ') AS gram FROM (SELECT *, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50)),
+o AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY gram) AS repeated FROM g),
+gone AS (SELECT DISTINCT r, i + k AS p FROM o, (SELECT unnest(range(50)) AS k) WHERE repeated),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d),
+kept AS (SELECT w.r, count(gone.p) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY w.p) FILTER (gone.p IS NULL), '') AS body FROM w LEFT JOIN gone ON gone.r = w.r AND gone.p = w.p GROUP BY w.r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
     "op3_warc": f"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS best FROM p)
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= {warc.LEAST_REVISITED} AND page_id <> best THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= {warc.LEAST_REVISITED} AND page_id <> best THEN best END AS refers_to, true AS digest_ok FROM m""",
+    "op4_mixing": f"""
+WITH RECURSIVE sizes AS (SELECT coalesce(source, '') AS src, count(*) AS n FROM documents GROUP BY 1),
+w AS (SELECT src, n, greatest(1, floor({mixing.PERIOD} * pow(n, {mixing.ALPHA}) / sum(pow(n, {mixing.ALPHA})) OVER () + 0.5))::BIGINT AS share FROM sizes),
+s AS (SELECT list(src ORDER BY src) AS srcs, list(share ORDER BY src) AS shares, sum(share)::BIGINT AS period, count(*) AS k FROM w),
+run(t, done, pick) AS (
+  SELECT -1::BIGINT, list_transform(shares, lambda x: 0::BIGINT), NULL::BIGINT FROM s
+  UNION ALL
+  SELECT t, list_transform(range(1, k + 1), lambda i: done[i] + (i = pick)::BIGINT), pick FROM (
+    SELECT r.t + 1 AS t, r.done, s.k, list_min(list_filter(list_transform(range(1, k + 1), lambda i: CASE WHEN r.done[i] < s.shares[i] AND (r.done[i] * s.period) // s.shares[i] <= r.t + 1
+      THEN (((r.done[i] + 1) * s.period + s.shares[i] - 1) // s.shares[i]) * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS pick
+    FROM run r, s WHERE r.t + 1 < s.period)),
+slots AS (SELECT srcs[pick] AS src, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn, period FROM run, s WHERE pick IS NOT NULL),
+ends AS (SELECT min((((n - 1) // {mixing.BLOCK_ROWS}) // share) * period + slot) AS horizon FROM w JOIN slots USING (src) WHERE turn = ((n - 1) // {mixing.BLOCK_ROWS}) % share),
+ranked AS (SELECT doc_id, source, coalesce(source, '') AS src, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, doc_id) - 1 AS rank FROM documents)
+SELECT doc_id, source, (((rank // {mixing.BLOCK_ROWS}) // share) * period + slot)::BIGINT AS slot, (rank % {mixing.BLOCK_ROWS})::BIGINT AS place, ((rank // {mixing.BLOCK_ROWS}) // share) * period + slot <= horizon AS in_mix
+FROM ranked JOIN w USING (src) JOIN slots ON slots.src = ranked.src AND slots.turn = (rank // {mixing.BLOCK_ROWS}) % share, ends""",
     "op6_quality_rules": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, host, text, {_WORDS} AS words FROM d),
@@ -110,6 +134,24 @@ prior AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0
 rates AS (SELECT host, (f + m * weight) / (n + weight) AS shrunk_rate FROM hosts, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND shrunk_rate <= {quality.MOST_HOST_FAILURES} AS kept, host, shrunk_rate
 FROM base JOIN rates USING (host)""",
+    "op7_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM d WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = other),
+equal AS (SELECT doc_id, md5(string_agg(s, chr(10) ORDER BY s)) AS k FROM sh GROUP BY doc_id),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM equal)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(class_id, d.doc_id) AS class_id, c.component_id
+FROM d JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id) LEFT JOIN sizes USING (doc_id) LEFT JOIN class USING (doc_id)""",
+    "op9_chat_formatting": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(replace(role, '\', '\\'), '(<|\[)(s>|/s>|INST\]|/INST\])', '\1\\\2', 'g') AS er, regexp_replace(replace(text, '\', '\\'), '(<|\[)(s>|/s>|INST\]|/INST\])', '\1\\\2', 'g') AS et FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<s>[INST]' || er || '[/INST]' || et || '</s>'))::BIGINT AS formatted_chars FROM e GROUP BY conv_id""",
 }
 
 
