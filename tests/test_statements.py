@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from statements import layout, lots_statement, main_statement, words
 
-from ledgerloom.operators import canonical, layout as lay
+from ledgerloom.operators import canonical, export
+from ledgerloom.operators import layout as lay
 from ledgerloom.operators.ordered import in_band, lines
 from ledgerloom.operators.sections import SectionError, raise_errors
 from ledgerloom.plans.sweep import curated, detect, sweep
@@ -47,15 +48,15 @@ def test_canonical_and_export(run, spark):
     moves = {r["descricao"]: r for r in run.datasets["movimentos"].filter("doc_id = 'F1'").collect()}
     assert any(r["tipo"] == "Purchase" for r in moves.values())
     funds = {"XYZ_CORP_SHORT_POSITION": {"nome": "X", "carteira": [{"descricao": "a", "classe": "c1", "valor": -8000}, {"descricao": "b", "classe": "c1", "valor": -3000}, {"descricao": "c", "classe": None, "valor": -1500}]}, "_nota": {}}
-    w = words(spark, main_statement())
-    full = sweep(w, band=BAND, year=2026, funds=funds_table(spark, funds))
-    assert full.positions["detalhado"].count() == 8 and full.positions["consolidado"].count() == 7
-    assert full.failures().count() == 0
+    base = run.positions["nao"].filter("doc_id = 'F1'")
+    full = {m: export.explode_funds(base, funds_table(spark, funds), m) for m in export.MODES}
+    assert full["detalhado"].count() == 8 and full["consolidado"].count() == 7
+    assert export.explosion_checks(full).filter("not passed").count() == 0
     funds["XYZ_CORP_SHORT_POSITION"]["carteira"][0]["valor"] = -9999.99
-    bad = sweep(w, band=BAND, year=2026, funds=funds_table(spark, funds))
-    assert {c["section"] for c in bad.failures().collect()} == {"POSICOES"}
+    bad = {m: export.explode_funds(base, funds_table(spark, funds), m) for m in export.MODES}
+    assert export.explosion_checks(bad).filter("not passed").count() == 2
     assert run.positions["nao"].filter("VALOR_IR is not null").count() == 0
-    assert run.movements.columns[1:] == __import__("ledgerloom.operators.export", fromlist=["x"]).MOVEMENT_COLUMNS
+    assert run.movements.columns[1:] == export.MOVEMENT_COLUMNS
 
 
 def test_lots_collapse_to_positions(spark):
