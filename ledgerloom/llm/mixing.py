@@ -50,16 +50,16 @@ def shares(docs: DataFrame, source: str = "source", weights: dict[str, float] |
 def schedule(share_rows: DataFrame) -> DataFrame:
     """Per source and block number within a period: src, share, period, turn, slot: earliest deadline first."""
     one = share_rows.filter("share > 0").agg(F.sort_array(F.collect_list(F.struct("src", "share"))).alias("s")).withColumn("period", F.aggregate("s", F.lit(0), lambda x, y: x + y["share"]))
-    run = one.filter("period > 0").withColumn(
+    run = one.withColumn(
         "chosen",
         F.expr("""
-        aggregate(sequence(0, period - 1), named_struct('done', transform(s, x -> 0), 'chosen', cast(array() as array<int>)),
+        if(period = 0, cast(array() as array<int>), aggregate(sequence(0, period - 1), named_struct('done', transform(s, x -> 0), 'chosen', cast(array() as array<int>)),
           (acc, t) -> transform(array(
               array_min(filter(zip_with(s, sequence(0, size(s) - 1), (x, i) -> if(
                   acc.done[i] < x.share and (cast(acc.done[i] as bigint) * period) div x.share <= t,
                   named_struct('deadline', ((acc.done[i] + 1L) * period + x.share - 1) div x.share, 'i', i), null)), y -> y is not null)).i),
             pick -> named_struct('done', transform(acc.done, (d, i) -> if(i = pick, d + 1, d)), 'chosen', concat(acc.chosen, array(pick))))[0],
-          acc -> acc.chosen)"""),
+          acc -> acc.chosen))"""),
     )
     slots = run.select("s", "period", F.posexplode("chosen").alias("slot", "i")).select(F.get("s", F.col("i")).alias("x"), "period", "slot")
     by_source = Window.partitionBy("src").orderBy("slot")
