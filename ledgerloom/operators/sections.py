@@ -151,3 +151,25 @@ def rollforward(statement: dict) -> dict:
         return {"name": "roll-forward", "passed": False, "extracted": None, "expected": None}
     got, want = sum((Decimal(str(p)) for p in parts[:3]), Decimal(0)), Decimal(str(parts[3]))
     return {"name": "roll-forward", "passed": got == want, "extracted": got, "expected": want}
+
+
+def statement_checks(name: str, rows: DataFrame, spec: dict, statement: dict) -> DataFrame | None:
+    """Checks against the statement's own figures: holdings against the portfolio total, activity against net flows."""
+    wanted = {"holdings": statement.get("portfolio_total"), "activity": (statement.get("activity_rollforward") or {}).get("net_flows")}.get(name)
+    if wanted is None or (name == "activity" and not spec.get("sum_is_net_flows", True)):
+        return None
+    value = F.lit(str(wanted)).cast("decimal(28,8)")
+    facts = rows.groupBy("doc_id", "section").agg(F.coalesce(F.sum(spec["amount_column"]), F.lit(0)).alias("total"))
+    label = {"holdings": "soma das posições vs total do portfólio", "activity": "soma dos movimentos vs fluxos líquidos"}[name]
+    return facts.select(*check(F.lit(label), matches(F.col("total"), value), F.col("total"), value, F.lit(None), F.lit(""), F.lit(ERROR), F.col("section"), F.lit(None)))
+
+
+def summary(rows: dict[str, DataFrame], checks: DataFrame, layout: dict) -> dict:
+    """Per section: pages, rows, sum, currencies; reconciled only if there are checks and all of them passed."""
+    out = {}
+    for name, df in rows.items():
+        spec = layout["sections"][name]
+        facts = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(spec["amount_column"]), F.lit(0)).cast("decimal(38,2)").cast("string").alias("s"), F.array_sort(F.collect_set("_currency")).alias("c")).first()
+        verdict = checks.filter(F.col("section") == name).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min(F.col("passed")), F.lit(False)).alias("ok")).first()
+        out[name] = {"pages": spec["pages"], "row_count": facts["n"], "sum": facts["s"], "currencies": facts["c"], "reconciled": bool(verdict["n"] and verdict["ok"])}
+    return out
