@@ -33,8 +33,8 @@ from .wordhash import LOWER_VALUES, buffers, chunks, grams, hash_slices, hash_sp
 
 #: Production parameters: words of a shingle, similarity in per cent, bits of the sketch's width (counters),
 #: prefix shingles of a bucket (about), estimated frequency from which a shingle bypasses the buckets, members
-#: that one task verifies against a leader at most (about).
-WORDS, PERCENT, SKETCH_BITS, BUCKET_ROWS, FREQUENT, GROUP_ROWS = 5, 75, 20, 1_000_000, 1 << 22, 2048
+#: that one task verifies against a leader at most (about), postings of a list that is sifted pair by pair.
+WORDS, PERCENT, SKETCH_BITS, BUCKET_ROWS, FREQUENT, GROUP_ROWS, SHORT_LIST = 5, 75, 20, 1_000_000, 1 << 22, 2048, 8
 _SLOTS = 64
 _U = np.uint64
 
@@ -132,7 +132,7 @@ def sketch_levels(profiled: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, words: int, percent: int, bits: int, frequent: int) -> DataFrame:
-    """Packed prefix shingles of ``docs`` (id, text): bucket (-1: frequent), keys, who, pos, and the documents' ids and ns."""
+    """Packed prefix shingles of ``docs`` (id, text): bucket (negative: frequent, dealt evenly), keys, who, pos, and the documents' ids and ns."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2**bits bytes
     limit = _U(min(255, int(4 * np.log2(frequent + 1.0))))
 
@@ -151,7 +151,8 @@ def prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, words: int, perc
                 out_at = np.concatenate(([0], np.cumsum(size)))
                 pos = np.arange(out_at[-1]) - np.repeat(out_at[:-1], size)
                 key, who = key[np.repeat(at[:-1], size) + pos], np.repeat(np.arange(len(n)), size)
-                bucket = np.where((key >> _U(56)) >= limit, -1, (mix(key) % _U(buckets)).astype(np.int64))
+                spread = -1 - np.arange(len(key)) % buckets
+                bucket = np.where((key >> _U(56)) >= limit, spread, (mix(key) % _U(buckets)).astype(np.int64))
                 order = np.argsort(bucket, kind="stable")
                 key, who, pos, bucket = key[order], who[order], pos[order], bucket[order]
                 begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, dtype=np.int64)
@@ -168,7 +169,13 @@ def prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, words: int, perc
 _POSTING = "token bigint, id bigint, n int, pos int"
 
 
-def postings(packed: DataFrame) -> DataFrame:
+def can_pair(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """The filters of ``may_link`` on postings of one shingle."""
+    need = -(-percent * (n + m) // (100 + percent))
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & (np.minimum(n - pos, m - at) >= need)
+
+
+def postings(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Rows (token, id, n, pos) of the prefix shingles that more than one document has (and of all frequent ones)."""
 
     def unpack(rows: list[dict]) -> tuple[np.ndarray, ...]:
@@ -182,25 +189,29 @@ def postings(packed: DataFrame) -> DataFrame:
     def table(key: np.ndarray, ids: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "id", "n", "pos"])
 
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield table(*unpack([row]))
-
     def sift(rows: list[dict]) -> pa.RecordBatch:
         key, ids, n, pos = unpack(rows)
         order = np.lexsort((ids, key))
-        key, ids, n, pos = key[order], ids[order], n[order], pos[order]
+        key, ids, n, pos = key[order], ids[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])  # a row may come twice
+        key, ids, n, pos = key[first], ids[first], n[first], pos[first]
         begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        end = np.concatenate((begin[1:], [len(key)]))
-        keep = np.repeat(ids[begin] != ids[end - 1], end - begin)
-        keep[1:] &= (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])  # a row may come twice
+        size = np.diff(np.concatenate((begin, [len(key)])))
+        keep = np.repeat(size > SHORT_LIST, size)
+        for step in range(1, SHORT_LIST):  # of a short list, only what some other posting may pair with
+            same = (key[step:] == key[:-step]) & can_pair(n[step:], pos[step:], n[:-step], pos[:-step], percent)
+            keep[step:] |= same
+            keep[:-step] |= same
         return table(key[keep], ids[keep], n[keep], pos[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
+                if row["bucket"] < 0:
+                    yield table(*unpack([row]))
+                    continue
                 if held and held[0]["bucket"] != row["bucket"]:
                     yield sift(held)
                     held = []
@@ -208,8 +219,7 @@ def postings(packed: DataFrame) -> DataFrame:
         if held:
             yield sift(held)
 
-    cool = packed.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _POSTING)
-    return cool.unionByName(packed.filter("bucket < 0").mapInArrow(plain, _POSTING))
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _POSTING)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -284,28 +294,21 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     buckets = max(64, int(total // bucket_rows))
     packed = prefixes(rows.filter("id is not null"), levels, buckets, words, percent, bits, frequent)
     reps = members.filter("id = class_id and n > 0").select("id").distinct()
-    found = postings(packed).join(reps, "id", "left_semi")
+    found = postings(packed, percent).join(reps, "id", "left_semi")
     spread = materialise(found, "postings")
     leads = spread.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("l"), F.max("id").alias("high")).filter("l.id < high")
     leads = leads.select("token", F.col("l.id").alias("low"), F.col("l.n").alias("n_l"), F.col("l.pos").alias("pos_l"))
     spread = materialise(spread.join(leads, "token"), "shared-postings")
-    texts = materialise(rows.join(spread.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
+    # the same plan at every size: ids of candidates are never broadcast
+    texts = materialise(rows.join(spread.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
     first = spread.filter(F.expr("id <> low") & may_link("", "_l", percent)).groupBy("id", "low").agg(F.count(F.lit(1)).alias("shared")).groupBy("id").agg(F.max_by("low", F.struct("shared", "low")).alias("low"))
     tried = materialise(first.select(F.col("id").alias("a"), F.col("low").alias("b")), "leader-pairs")
     links = materialise(verify(tried, texts, words, percent), "links")
     comps = materialise(components(links), "components")
     lists = spread.select("token", "id", "n", "pos")
-    # what still differs: first the pair of most shared shingles of a document and a component, then all others
-    pairs = materialise(candidates(_labelled(lists, comps), percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-    of = comps.select(F.col("node").alias("b"), F.col("component").alias("to"))
-    best = pairs.join(of, "b", "left").groupBy("a", F.coalesce("to", "b").alias("to")).agg(F.max_by("b", F.struct("shared", "b")).alias("b")).select("a", "b")
-    best = materialise(best, "best-pairs")
-    links = materialise(links.unionByName(verify(best, texts, words, percent)), "links")
-    comps = materialise(components(links), "components")
-    sides = [comps.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}")) for s in ("a", "b")]
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(sides[0], "a", "left").join(sides[1], "b", "left")
-    rest = materialise(rest.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), "pairs")
-    links = materialise(links.unionByName(verify(rest, texts, words, percent)), "links")
+    # what still differs
+    pairs = materialise(candidates(_labelled(lists, comps), percent).join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+    links = materialise(links.unionByName(verify(pairs, texts, words, percent)), "links")
     comps = materialise(components(links), "components")
     named = members.join(comps.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
