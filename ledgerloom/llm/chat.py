@@ -46,31 +46,38 @@ def expand(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
         F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("row"),
     )
     whole = rows.groupBy("conv").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    parts = whole.select(
-        "conv",
-        F.transform("rows", lambda r: F.concat(_header(r["role"]), escape(r["text"]), F.lit("</s>"))).alias("parts"),
-        F.transform("rows", lambda r: F.when(r["role"] == "assistant", F.struct(_header(r["role"]).alias("header"), escape(r["text"]).alias("reply")))).alias("replies"),
-        F.size("rows").alias("n_turns"),
-    )
-    targets = parts.withColumn("at", F.filter(F.sequence(F.lit(0), F.col("n_turns")), lambda i: F.when(i == F.col("n_turns"), F.element_at("replies", -1).isNull()).otherwise(F.get("replies", i).isNotNull())))
-    each = targets.select("conv", "n_turns", "parts", "replies", F.posexplode("at").alias("example", "k"))
-    reply = F.get("replies", F.col("k"))
+    turn_parts = whole.select("conv", F.transform("rows", lambda r: F.struct(_header(r["role"]).alias("header"), escape(r["text"]).alias("body"), (r["role"] == "assistant").alias("reply"))).alias("t"))
+    pieces = turn_parts.withColumn("parts", F.transform("t", lambda x: F.concat(x["header"], x["body"], F.lit("</s>"))))
+    # where each turn begins, in bytes of the conversation
+    begins = F.aggregate("parts", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.octet_length(p))))
+    placed = pieces.select("conv", "t", F.array_join("parts", "").cast("binary").alias("formatted"), begins.alias("begins"))
+
+    def target(x: Column, i: Column) -> Column:
+        return F.when(x["reply"], F.struct((F.get("begins", i) + F.octet_length(x["header"])).alias("at"), x["body"].alias("completion")))
+
+    rest = F.when(~F.element_at("t", -1)["reply"], F.struct(F.element_at("begins", -1).alias("at"), F.lit(None).cast("string").alias("completion")))
+    found = F.filter(F.concat(F.transform("t", target), F.array(rest)), lambda x: x.isNotNull())
+    targets = placed.select("conv", F.size("t").alias("n_turns"), "formatted", F.reverse(found).alias("targets")).withColumn("k", F.size("targets"))
+    # the longest prompt comes first, and a row carries the conversation once; the outer form keeps the optimiser
+    # from computing the targets a second time, in a filter for empty arrays (there is none)
+    each = targets.select("conv", "n_turns", "formatted", "k", F.posexplode_outer("targets").alias("back", "x"))
     return each.select(
         F.col("conv").alias(conv),
-        "example",
+        (F.col("k") - 1 - F.col("back")).alias("example"),
         "n_turns",
-        F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("k")), ""), F.coalesce(reply["header"], F.lit(""))).alias("prompt"),
-        reply["reply"].alias("completion"),
+        F.substring("formatted", F.lit(1), F.col("x.at")).cast("string").alias("prompt"),
+        F.col("x.completion").alias("completion"),
     )
 
 
 def digest(examples: DataFrame, conv: str = "conv_id") -> DataFrame:
     """What is read back from formatted examples: turns from the longest example, losses from every one."""
-    ends = F.when(F.col("completion").isNotNull(), F.concat("prompt", "completion", F.lit("</s>"))).otherwise(F.col("prompt"))
+    ends = F.when(F.col("last.completion").isNotNull(), F.concat("last.prompt", "last.completion", F.lit("</s>"))).otherwise(F.col("last.prompt"))
     back = examples.groupBy(conv).agg(
-        F.max_by(ends, "example").alias("formatted"),
+        F.max_by(F.struct("prompt", "completion"), "example").alias("last"),
         F.sort_array(F.collect_list(F.when(F.col("completion").isNotNull(), F.struct("example", "completion")))).alias("losses"),
     )
+    back = back.select(conv, ends.alias("formatted"), "losses")
     pieces = F.filter(F.split("formatted", "</s>"), lambda p: p != "")
     pattern = r"(?s)^<s>\[INST\](.*?)\[/INST\](.*)$"
     read = F.transform(pieces, lambda p: F.concat(unescape(F.regexp_extract(p, pattern, 1)), F.lit("\n"), unescape(F.regexp_extract(p, pattern, 2)), F.lit("\n")))
