@@ -1,14 +1,17 @@
-"""Operator 4: mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
+"""Operator 4: mixing sources to target weights by Pfair scheduling; rows go through DataFrame functions only.
 
-A source's rows form blocks, in an order that a hash fixes. With an integer share of a period's slots as its
-weight, block i of a source may not start before slot floor(i * period / share) and must end by slot
-ceil((i + 1) * period / share); in each slot the released block of earliest deadline runs. This keeps every
-source within one block of its target at every slot. The schedule repeats after each period, so it is worked
-out once for the sources (never for the rows), and a row finds its slot by its rank.
+A source's rows form blocks, in an order that a hash fixes. With a weight w, of sum 1 over the sources, block i
+of a source may not start before slot floor(i / w) and must end by slot ceil((i + 1) / w); in each slot the
+released block of earliest deadline runs. This keeps every source within one block of its target at every slot.
+The driver works this out for blocks (never for rows) in exact integers, whatever the number of sources, and
+writes it in pieces; a row finds its slot by its rank.
+
+With a ``period``, weights are first rounded to slots of a period, one at least, and the schedule of one period
+repeats: the bound then holds against the rounded weights only, and at most ``MOST_SOURCES`` sources share it.
 
 Ranks need no task that holds a source: rows go to small hash ranges, ranges are counted, and running sums
 of the counts place each range. Every row is returned once; ``in_mix`` ends where the first source runs out,
-the other sources go on in their own slots.
+the other sources go on: without gaps, or with a ``period`` in their own slots.
 
 Defined results: a null source is the source ''; sources of weight 0 or without a weight get null slots;
 repeated rows are rows of their own; an empty table gives an empty one; extra columns stay.
@@ -16,15 +19,22 @@ repeated rows are rows of their own; an empty table gives an empty one; extra co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from array import array
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialise
+from .shared import free_name, materialise, new_path
 
 #: Production parameters: rows of a block, slots of a period (about), exponent of the default weights, rows of a
-#: hash range, sources at most (they share one schedule).
+#: hash range, sources at most that share the schedule of a period.
 BLOCK_ROWS, PERIOD, ALPHA, RANGE_ROWS, MOST_SOURCES = 16, 1024, 0.5, 2048, 4096
 _HASH_BITS = 30
+#: Slots that the driver holds at a time.
+_PIECE = 1 << 20
 
 
 def _order_hash(key: Column) -> Column:
@@ -32,14 +42,18 @@ def _order_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")
 
 
-def shares(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, alpha: float = ALPHA, period: int = PERIOD) -> DataFrame:
-    """Per source: rows n and integer share of a period; default weights are sizes to the power ``alpha``."""
+def targets(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, alpha: float = ALPHA) -> DataFrame:
+    """Per source: rows n and weight w, of any sum; default weights are sizes to the power ``alpha``."""
     sizes = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("src")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
-        sizes = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
-    else:
-        table = F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, float(w))])
-        sizes = sizes.withColumn("w", F.coalesce(F.get(F.map_values(F.map_filter(table, lambda k, _: k == F.col("src"))), F.lit(0)), F.lit(0.0)))
+        return sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
+    table = F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, float(w))])
+    return sizes.withColumn("w", F.coalesce(F.get(F.map_values(F.map_filter(table, lambda k, _: k == F.col("src"))), F.lit(0)), F.lit(0.0)))
+
+
+def shares(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, alpha: float = ALPHA, period: int = PERIOD) -> DataFrame:
+    """Per source: rows n and integer share of a period; weights as for ``targets``."""
+    sizes = targets(docs, source, weights, alpha)
     every = Window.partitionBy(F.lit(0))
     of_all = F.sum("w").over(every)
     share = F.when(F.col("w") > 0, F.greatest(F.lit(1), F.floor(period * F.col("w") / of_all + 0.5).cast("int"))).otherwise(F.lit(0))
@@ -66,27 +80,92 @@ def schedule(share_rows: DataFrame) -> DataFrame:
     return slots.select("x.src", "x.share", "period", "slot").withColumn("turn", F.row_number().over(by_source) - 1)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA, period: int = PERIOD) -> DataFrame:
+def _turns(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int]]:
+    """Slot by slot, the source that runs and the number of its block; earliest deadline first, ties by position."""
+    ratios = [w.as_integer_ratio() for w in weights]
+    scale = max((q for _, q in ratios), default=1)  # powers of two: all weights are integers over it
+    whole = [p * (scale // q) for p, q in ratios]
+    total = sum(whole)
+    ready = [(-(-total // w), i, 0) for i, w in enumerate(whole)]
+    heapq.heapify(ready)
+    waiting: list[tuple[int, int, int, int]] = []
+    now = 0
+    while ready or waiting:
+        if not ready:  # only after a source has run out
+            now = max(now, waiting[0][0])
+        while waiting and waiting[0][0] <= now:
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        _, i, block = heapq.heappop(ready)
+        yield i, block
+        now, block = now + 1, block + 1
+        if block < blocks[i]:
+            release, deadline = block * total // whole[i], -(-(block + 1) * total // whole[i])
+            if release <= now:
+                heapq.heappush(ready, (deadline, i, block))
+            else:
+                heapq.heappush(waiting, (release, deadline, i, block))
+
+
+def exact_schedule(spark: SparkSession, sizes: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int | None]:
+    """Every block's src, block and slot, and the last slot up to which all sources last; ``sizes`` as of ``targets``."""
+    rows = sorted((r["src"], r["n"], r["w"]) for r in sizes.filter("w > 0").collect())
+    names, blocks = pa.array([r[0] for r in rows], pa.string()), [-(-r[1] // block_rows) for r in rows]
+    path, horizon, at = new_path(spark, "mix-slots"), None, 0
+    schema = "src string, block bigint, slot bigint"
+    who, which = array("q"), array("q")
+
+    def write() -> None:
+        piece = pa.table([names.take(pa.array(who, pa.int64())), pa.array(which, pa.int64()), pa.array(range(at - len(who), at), pa.int64())], names=["src", "block", "slot"])
+        spark.createDataFrame(piece, schema).write.mode("append").parquet(path)
+
+    for i, block in _turns(blocks, [r[2] for r in rows]):
+        who.append(i)
+        which.append(block)
+        if horizon is None and block == blocks[i] - 1:
+            horizon = at
+        at += 1
+        if len(who) == _PIECE:
+            write()
+            del who[:], which[:]
+    if len(who) or not at:
+        write()
+    return spark.read.schema(schema).parquet(path), horizon
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA, period: int | None = None) -> DataFrame:
     """``docs`` with slot (long), place in the block (long) and in_mix; order by slot, place is the mix."""
     names = {c: free_name(docs.columns, c) for c in ("slot", "place", "in_mix", "mix_src", "mix_hash", "mix_range")}
     src, h, rng = names["mix_src"], names["mix_hash"], names["mix_range"]
-    share_rows = materialise(shares(docs, source, weights, alpha, period), "mix-shares")
-    slots = materialise(schedule(share_rows), "mix-schedule")
-    # the last block of each source, and with it the slot up to which all sources last
-    last = share_rows.filter("share > 0").withColumn("block", F.expr(f"(n - 1) div {block_rows}"))
-    ends = last.join(slots.select("src", "turn", "slot", "period"), "src").filter("turn = block % share").select(F.expr("(block div share) * period + slot").alias("slot"))
-    horizon = ends.agg(F.min("slot")).first()[0]
-    known = share_rows.select(F.col("src").alias(src), F.greatest(F.lit(1), F.expr(f"(n + {RANGE_ROWS - 1}) div {RANGE_ROWS}")).alias(f"{rng}s"), F.col("share").alias(f"{src}_share"))
+    if period is None:
+        sources = materialise(targets(docs, source, weights, alpha), "mix-targets")
+        slots, horizon = exact_schedule(docs.sparkSession, sources, block_rows)
+    else:
+        sources = materialise(shares(docs, source, weights, alpha, period), "mix-shares")
+        turns = materialise(schedule(sources), "mix-schedule")
+        # the last block of each source, and with it the slot up to which all sources last
+        last = sources.filter("share > 0").withColumn("block", F.expr(f"(n - 1) div {block_rows}"))
+        ends = last.join(turns.select("src", "turn", "slot", "period"), "src").filter("turn = block % share").select(F.expr("(block div share) * period + slot").alias("slot"))
+        horizon = ends.agg(F.min("slot")).first()[0]
+    known = sources.select(F.col("src").alias(src), F.greatest(F.lit(1), F.expr(f"(n + {RANGE_ROWS - 1}) div {RANGE_ROWS}")).alias(f"{rng}s"), *([] if period is None else [F.col("share").alias(f"{src}_share")]))
     placed = docs.withColumn(src, F.coalesce(F.col(source), F.lit(""))).withColumn(h, _order_hash(F.col(key)))
     placed = placed.join(known, src).withColumn(rng, F.shiftright(F.shiftright(F.col(h), 60 - _HASH_BITS) * F.col(f"{rng}s"), _HASH_BITS))
     sizes = placed.groupBy(src, rng).agg(F.count(F.lit(1)).alias(f"{rng}_n"))
-    before = sizes.withColumn(f"{rng}_before", F.sum(f"{rng}_n").over(Window.partitionBy(src).orderBy(rng)) - F.col(f"{rng}_n")).drop(f"{rng}_n")
+    before = sizes.withColumn(f"{rng}_before", F.sum(f"{rng}_n").over(Window.partitionBy(src).orderBy(rng)) - F.col(f"{rng}_n"))
     inside = Window.partitionBy(src, rng).orderBy(h, key)
     at = f"{rng}_rank"
-    ranked = placed.join(before, [src, rng]).withColumn(at, F.col(f"{rng}_before") + F.row_number().over(inside) - 1)
-    ranked = ranked.withColumn(f"{rng}_block", F.expr(f"`{at}` div {block_rows}")).withColumn(f"{rng}_turn", F.when(F.col(f"{src}_share") > 0, F.col(f"{rng}_block") % F.col(f"{src}_share")))
-    table = slots.select(F.col("src").alias(src), F.col("turn").cast("long").alias(f"{rng}_turn"), F.col("slot").alias(f"{rng}_slot"), F.col("period").alias(f"{rng}_period"))
-    got = ranked.join(F.broadcast(table), [src, f"{rng}_turn"], "left")  # period slots at most: bounded by the parameters
-    slot = F.expr(f"(`{rng}_block` div `{src}_share`) * `{rng}_period` + `{rng}_slot`")
-    slot = F.when(F.col(f"{src}_share") > 0, slot).cast("long")
+    if period is None:
+        # each range takes along the slots of its blocks, so rows are not shuffled again to find theirs
+        first = F.expr(f"`{rng}_before` div {block_rows}")
+        spans = before.withColumn("block", F.explode(F.sequence(first, F.expr(f"(`{rng}_before` + `{rng}_n` - 1) div {block_rows}"))))
+        spans = spans.join(slots.withColumnRenamed("src", src), [src, "block"], "left").groupBy(src, rng, f"{rng}_before").agg(F.sort_array(F.collect_list(F.struct("block", "slot")))["slot"].alias(f"{rng}_slots"))
+        ranked = placed.withColumn(at, F.row_number().over(inside) - 1).join(spans, [src, rng])
+        got = ranked.withColumn(at, F.col(f"{rng}_before") + F.col(at)).withColumn(f"{rng}_slot", F.get(f"{rng}_slots", (F.expr(f"`{at}` div {block_rows}") - first).cast("int")))
+        slot = F.col(f"{rng}_slot")
+    else:
+        ranked = placed.join(before.drop(f"{rng}_n"), [src, rng]).withColumn(at, F.col(f"{rng}_before") + F.row_number().over(inside) - 1)
+        ranked = ranked.withColumn(f"{rng}_block", F.expr(f"`{at}` div {block_rows}")).withColumn(f"{rng}_turn", F.when(F.col(f"{src}_share") > 0, F.col(f"{rng}_block") % F.col(f"{src}_share")))
+        table = turns.select(F.col("src").alias(src), F.col("turn").cast("long").alias(f"{rng}_turn"), F.col("slot").alias(f"{rng}_slot"), F.col("period").alias(f"{rng}_period"))
+        got = ranked.join(F.broadcast(table), [src, f"{rng}_turn"], "left")  # period slots at most: bounded by the parameters
+        slot = F.expr(f"(`{rng}_block` div `{src}_share`) * `{rng}_period` + `{rng}_slot`")
+        slot = F.when(F.col(f"{src}_share") > 0, slot).cast("long")
     return got.select(*docs.columns, slot.alias(names["slot"]), F.expr(f"`{at}` % {block_rows}").cast("long").alias(names["place"]), F.coalesce(slot <= F.lit(horizon), F.lit(False)).alias(names["in_mix"]))

@@ -37,7 +37,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    # its SQL defines the results by weights rounded to slots of a period
+    return mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source"), period=mixing.PERIOD)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

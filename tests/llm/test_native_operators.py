@@ -53,6 +53,39 @@ def test_mix_stays_within_a_block_of_its_weights(spark):
         assert all(abs(done[s] - (t + 1) * share[s] / period) < 1 for s in share)
 
 
+def _within_a_block_of_targets(got, sizes, slot="slot"):
+    """Counts after every slot of the mix against the unrounded weights, in whole numbers."""
+    ratio = {s: math.sqrt(n).as_integer_ratio() for s, n in sizes.items()}
+    scale = max(q for _, q in ratio.values())
+    w = {s: p * (scale // q) for s, (p, q) in ratio.items()}
+    total = sum(w.values())
+    at = {}
+    for r in got:
+        assert at.setdefault(r[slot], r["source"]) == r["source"]
+    done, end = Counter(), max(r[slot] for r in got if r["in_mix"])
+    for t in range(end + 1):
+        done[at[t]] += 1
+        assert all(abs(done[s] * total - (t + 1) * w[s]) < total for s in w), t
+    assert sorted(at) == list(range(len(at)))
+    return end
+
+
+def test_mix_stays_within_a_block_of_the_unrounded_weights_with_a_hot_source(spark):
+    sizes = {"hot": 10000} | {f"s{i:02}": 1000 for i in range(19)}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), block_rows=1).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(rows)))
+    assert _within_a_block_of_targets(got, sizes) > 15000
+
+
+def test_mix_of_thousands_of_sources(spark):
+    sizes = {"hot": 3000} | {f"s{i:04}": 1 + i % 3 for i in range(4500)}
+    rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, source string"), block_rows=1).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(rows)))
+    assert _within_a_block_of_targets(got, sizes) > 1000
+
+
 def test_mix_with_given_weights_and_no_rows(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(100)] + [(200, "z")], "doc_id bigint, source string")
     got = mixing.mix(df, weights={"a": 3, "b": 1}, block_rows=2)
