@@ -1,6 +1,6 @@
 """A corpus pipeline of five operators: each stage's rows are written as Parquet and reread by the next.
 
-Stages take (spark, docs, sf_dir); all but the last return the columns of ``docs``. A row of null text has no
+Stages take (spark, docs, sf_dir); all but the last return the columns of ``docs``, and the mix adds ``MIX``. A row of null text has no
 letter and is rejected by the first stage; a null doc_id keeps its row until then; an empty table passes
 through. Every decision is made on all rows that the stage before kept.
 """
@@ -19,6 +19,9 @@ from ledgerloom.llm.shared import materialise, read_table
 #: A document is rejected when no language explains this share of it (four languages: above a quarter).
 LEAST_SCORE = 0.3
 
+#: The mix's decision on each row, which the last stage hands on: sorted by slot and place, the rows are the mix.
+MIX = ("slot", "place", "in_mix")
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled rows outside the held-out fold; documents without a language go, the others get theirs."""
@@ -46,15 +49,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in the order of the mix: files hold ranges of slots and are sorted."""
-    mixed = mixing.mix(docs)
-    slot, place = mixed.columns[len(docs.columns) : len(docs.columns) + 2]
-    return mixed.repartitionByRange(slot, place).sortWithinPartitions(slot, place).select(*docs.columns)
+    """All rows with their slot and place in the mix; files hold ranges of slots and are sorted."""
+    mixed = mixing.mix(docs.drop(*MIX))
+    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and digests of the ids and of what they decode to."""
-    return bpe.digest(docs, vocabulary_path(), keep=("lang", "source"), with_ids=True)
+    """Token ids of every text, digests of the ids and of what they decode to, and each row's position in the mix."""
+    return bpe.digest(docs, vocabulary_path(), keep=("lang", "source", *(c for c in MIX if c in docs.columns)), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
