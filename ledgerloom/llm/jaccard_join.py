@@ -281,8 +281,8 @@ def candidates(found: DataFrame, percent: int = PERCENT) -> DataFrame:
     return joined.groupBy(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bits: int = SKETCH_BITS, bucket_rows: int = BUCKET_ROWS, frequent: int = FREQUENT) -> DataFrame:
-    """Per row: key, n_shingles, class_id (least id of the equal sets) and component_id (least id reachable by links)."""
+def _prepared(docs: DataFrame, key: str, text: str, words: int, percent: int, bits: int, bucket_rows: int, frequent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their class, the postings of class representatives that stand in lists of several, and the texts of these."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     profiled = materialise(profile(rows, words, bits), "profile")
     levels = sketch_levels(profiled, bits)
@@ -301,6 +301,23 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     spread = materialise(spread.join(leads, "token"), "shared-postings")
     # the same plan at every size: ids of candidates are never broadcast
     texts = materialise(rows.join(spread.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
+    return members, spread, texts
+
+
+def all_links(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bits: int = SKETCH_BITS, bucket_rows: int = BUCKET_ROWS, frequent: int = FREQUENT) -> DataFrame:
+    """All links a, b (a > b) between representatives (least ids) of classes of equal sets: in a group as many as its pairs.
+
+    Every candidate pair is verified, whether or not other links connect it already.
+    """
+    _, spread, texts = _prepared(docs, key, text, words, percent, bits, bucket_rows, frequent)
+    lists = spread.select("token", "id", "n", "pos", F.col("id").alias("component"))  # each on its own: no pair is skipped
+    pairs = materialise(candidates(lists, percent).select("a", "b"), "pairs")
+    return verify(pairs, texts, words, percent)
+
+
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bits: int = SKETCH_BITS, bucket_rows: int = BUCKET_ROWS, frequent: int = FREQUENT) -> DataFrame:
+    """Per row: key, n_shingles, class_id (least id of the equal sets) and component_id (least id reachable by links)."""
+    members, spread, texts = _prepared(docs, key, text, words, percent, bits, bucket_rows, frequent)
     first = spread.filter(F.expr("id <> low") & may_link("", "_l", percent)).groupBy("id", "low").agg(F.count(F.lit(1)).alias("shared")).groupBy("id").agg(F.max_by("low", F.struct("shared", "low")).alias("low"))
     tried = materialise(first.select(F.col("id").alias("a"), F.col("low").alias("b")), "leader-pairs")
     links = materialise(verify(tried, texts, words, percent), "links")

@@ -108,6 +108,27 @@ def test_jaccard_join_loses_no_link(spark, frequent):
     assert jaccard_join.link(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [1 << 22, 3])
+def test_jaccard_join_gives_all_links(spark, frequent):
+    rng = random.Random(19)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(rng.randrange(90, 120))] for _ in range(3)]
+    rows = []
+    for i in range(90):
+        w = list(base[i % 3])
+        for _ in range(rng.randrange(0, 2)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(100, None), (101, "a b"), (102, "A B"), (103, rows[0][1].upper())]
+    least = {}
+    for i, t in rows:
+        least.setdefault(frozenset(_shingles(t)), i)
+    want = {(j, i) for x, i in least.items() for y, j in least.items() if i < j and x and 100 * len(x & y) >= 75 * len(x | y)}
+    df = spark.createDataFrame([*rows, rows[3], (None, rows[3][1])], "doc_id bigint, text string")
+    got = [(r["a"], r["b"]) for r in jaccard_join.all_links(df, frequent=frequent, bucket_rows=500).collect()]
+    assert len(want) > 200 and len(got) == len(set(got)) and set(got) == want
+    assert jaccard_join.all_links(df.limit(0)).count() == 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1))
 def test_exact_verification_and_suffix_bound(x, y):
