@@ -198,7 +198,11 @@ def _decode(window: _Window, start: int, size: int, piece: int = 1 << 16) -> tup
 
 
 def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Every record of the archives: page_id, uri, record_type, refers_to, payload_digest, payload_bytes, payload (null: revisit), digest_ok."""
+    """Every record of the archives: page_id, uri, record_type, refers_to, payload_digest, payload_bytes, payload (null: revisit), digest_ok.
+
+    A revisit is sound, and has its length, by the response that it refers to, as read back; without one of that id
+    and digest, digest_ok is false and payload_bytes null.
+    """
     ranges = splits(files, split_bytes)
     ranges = ranges.repartition(max(1, min(10_000, ranges.count())))
 
@@ -220,7 +224,7 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                     for f, block in members(file, part["bytes"], part["first"], part["last"]):
                         revisit = f["warc-type"] == "revisit"
                         digest = f["warc-payload-digest"].removeprefix("sha1:")
-                        n_bytes = int(f["x-payload-length"]) if revisit else len(block)
+                        n_bytes = None if revisit else len(block)
                         computed = digest if revisit else hashlib.sha1(block).hexdigest()
                         rows.append((number(f["warc-record-id"]), f.get("warc-target-uri"), f["warc-type"], number(f.get("warc-refers-to")), computed, n_bytes, None if revisit else block, computed == digest))
                         held += len(block)
@@ -230,4 +234,10 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                     if rows:
                         yield batch_of(rows)
 
-    return ranges.mapInArrow(run, "page_id bigint, uri string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary, digest_ok boolean")
+    records = ranges.mapInArrow(run, "page_id bigint, uri string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary, digest_ok boolean")
+    # payloads are not shuffled: what the join needs is written without them
+    slim = materialise(records.drop("payload"), "warc-records")
+    there = slim.filter("record_type <> 'revisit'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("there"))
+    revisits = slim.filter("record_type = 'revisit'").join(there, ["refers_to", "payload_digest"], "left")
+    revisits = revisits.withColumns({"payload_bytes": F.col("there"), "payload": F.lit(None).cast("binary"), "digest_ok": F.col("there").isNotNull()})
+    return records.filter("record_type <> 'revisit'").unionByName(revisits.select(*records.columns))

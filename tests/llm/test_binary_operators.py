@@ -32,6 +32,19 @@ def test_warc_round_trip_and_revisits(spark):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_revisits_are_judged_by_the_response_read_back(spark, tmp_path):
+    def sha(data):
+        return hashlib.sha1(data).hexdigest()
+
+    sound, other = b"sound" * 300, b"other" * 300
+    records = [("response", 1, sound, sha(sound), None, 0), ("response", 2, other, sha(sound), None, 0), ("revisit", 3, b"", sha(sound), 1, len(sound)), ("revisit", 4, b"", sha(sound), 2, len(sound)), ("revisit", 5, b"", sha(sound), 9, len(sound)), ("revisit", 6, b"", sha(sound), 1, 7)]
+    data = b"".join(warc.member(warc.record(kind, "u", key, payload, digest, to, n)) for kind, key, payload, digest, to, n in records)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz", len(data), len(records))], "path string, bytes bigint, records bigint")
+    got = {r["page_id"]: (r["digest_ok"], r["payload_bytes"]) for r in warc.read(files).collect()}
+    assert got == {1: (True, 1500), 2: (False, 1500), 3: (True, 1500), 4: (False, None), 5: (False, None), 6: (True, 1500)}
+
+
 def test_reader_is_not_misled_by_the_magic_inside_members():
     rng = random.Random(1)
     packed = [warc.member(warc.record("response", "u", i, warc.GZIP_MAGIC * 50 + rng.randbytes(3000), "d", None, 0), level=0) for i in range(30)]
