@@ -1,21 +1,25 @@
 """Operator 7: n-gram Jaccard self-join with rare-first prefix filtering, and the components of its links.
 
-1. A scan reduces each text to its set of word shingles (64-bit hashes): size and a 128-bit signature, and
-   counts shingles in a sketch of fixed width. Texts of equal sets form a class; its least id stands for it.
-2. The sketch gives one order for all shingles, rare ones first. Two sets that are similar enough share a
-   shingle among the first ``n - ceil(t n) + 1`` of each; these prefix shingles go, packed, to buckets by
-   hash, where those that one document has alone are dropped. Shingles that the sketch knows to be very
-   frequent bypass the buckets as plain rows.
-3. Copies of one text share all their prefix shingles, so pairs are not made within a shingle's list at once:
-   each document is first verified against one leader, links are merged to components, and only documents of
-   different components that still share a prefix shingle and pass the length and positional filters are
-   paired; the suffix filter precedes each exact verification. Each pair is verified once.
-
-A wrong estimate of a frequency changes the order, never the result.
+1. One scan reduces each text to its set of word shingles (64-bit hashes), with its size and a 128-bit signature.
+   Shingles go, packed by chunks of documents, to buckets by hash, which count exactly in how many documents each
+   stands; only those of two documents or more come back to their chunk. Texts move nowhere.
+2. Shingles are ordered by frequency, rare ones first, then by hash. Two sets that are similar enough share a
+   shingle among the first ``n - ceil(t n) + 1`` of each. Shingles that one document has alone come first and
+   link nothing, so a document whose prefix holds no other is finished here.
+3. Texts of equal sets form a class; its least id stands for it. Prefix shingles of these are joined. Near copies
+   share most prefix shingles, so pairs are not made within a shingle's list at once: in each round the documents
+   outside the list's largest component are verified against one member of it, and links merge components. Once
+   what is left is in proportion to the lists, documents of different components that still share a
+   prefix shingle and pass the length and positional filters are paired; the suffix filter precedes each exact
+   verification. Each pair is verified once.
+
+Everything that grows with the data is a table: no broadcast, no sketch, no bound on a list.
 
 Defined results: a text that is null or has no words has the empty set and no link; a text of fewer words than
 a shingle has its whole sequence as its only one; ids are unique among rows of different texts (equal rows
-give equal results); a null id keeps its row and has no link; extra columns are dropped.
+give equal results); a null id keeps its row and has no link; extra columns are dropped; a text of any length is one
+set, of which a worker holds about ten times the text's size; an empty table gives an empty one. A task of the scan
+that runs again must see its rows in the same order, as tables give them.
 """
 
 from __future__ import annotations
@@ -24,18 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialise, small_batches
+from .shared import finished, join_groups, materialise, small_batches
 from .wordhash import LOWER_VALUES, buffers, chunks, grams, hash_slices, hash_spans, mix, spans
 
-#: Production parameters: words of a shingle, similarity in per cent, bits of the sketch's width (counters),
-#: prefix shingles of a bucket (about), estimated frequency from which a shingle bypasses the buckets, members
-#: that one task verifies against a leader at most (about), postings of a list that is sifted pair by pair.
-WORDS, PERCENT, SKETCH_BITS, BUCKET_ROWS, FREQUENT, GROUP_ROWS, SHORT_LIST = 5, 75, 20, 1_000_000, 1 << 22, 2048, 8
-_SLOTS = 64
+#: Production parameters: words of a shingle, similarity in per cent, shingles of a bucket (about), bytes of text in a
+#: chunk (about), members that one task verifies against a leader at most (about), rounds of leaders at most.
+WORDS, PERCENT, BUCKET_ROWS, CHUNK, GROUP_ROWS, ROUNDS = 5, 75, 1_000_000, 4 << 20, 2048, 8
+#: Prefix shingles that a posting knows before its own (a pair that these miss is made twice and merged).
+BACK = 32
+#: Documents of a chunk, so that 16 bits name one.
+_CHUNK_DOCS = 60_000
 _U = np.uint64
 
 
@@ -76,182 +83,207 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     return suffix_bound(x[:cut], y[:middle], depth - 1) + suffix_bound(x[cut:], y[middle:], depth - 1)
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether the sorted sets x and y have the similarity, exactly."""
-    need = least_overlap(len(x), len(y), percent)
+def similar(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int = PERCENT) -> bool:
+    """Whether sets of n and m members have the similarity, exactly; x and y, sorted, hold all that the two may share."""
+    need = least_overlap(n, m, percent)
     if min(len(x), len(y)) < need or suffix_bound(x, y) < need:
         return False
     small, large = (x, y) if len(x) <= len(y) else (y, x)
     spot = np.searchsorted(large, small)
     spot[spot == len(large)] = 0
     shared = int((large[spot] == small).sum())
-    return 100 * shared >= percent * (len(x) + len(y) - shared)
+    return 100 * shared >= percent * (n + m - shared)
 
 
-def profile(docs: DataFrame, words: int = WORDS, bits: int = SKETCH_BITS) -> DataFrame:
-    """Of ``docs`` (id, text): a row (id, n, s1, s2) per text, and per task rows (slot, counts) of the sketch."""
+def _packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Slices of ``values``, cut at ``at``, as byte strings."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.zeros(1, dtype=np.int64)
+
+
+_SHINGLES = "bucket bigint, chunk bigint, keys binary, who binary, about binary"
+
+
+def scan(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
+    """Of ``docs`` (id, text): a row per chunk and bucket (shingles, ascending, and whose they are), and one of the chunk's documents."""
     small_batches(docs.sparkSession)
-    names = ["id", "n", "s1", "s2", "slot", "counts"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << bits, dtype=np.uint32)
+        first, held, size, rows, seq = TaskContext.get().partitionId() << 32, [], 0, 0, 0
+
+        def close() -> pa.RecordBatch:
+            sets = [shingle_sets(b.column(1).slice(i, j - i), words) for b in held for i, j in chunks(b.column(1))]
+            flat = np.concatenate([s[0] for s in sets])
+            n = np.concatenate([np.diff(s[1]) for s in sets])
+            valid = np.concatenate([b.column(0).is_valid().to_numpy(zero_copy_only=False) for b in held])
+            ids = np.concatenate([b.column(0).fill_null(0).to_numpy() for b in held])
+            at = np.concatenate(([0], np.cumsum(n)))
+            sums = [np.concatenate((np.zeros(1, dtype=_U), np.cumsum(mix(flat + _U(salt)), dtype=_U))) for salt in (1, 2**40 + 1)]
+            about = np.stack((ids, valid, n, *((s[at[1:]] - s[at[:-1]]).view(np.int64) for s in sums))).astype(np.int64)
+            who = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+            if not valid.all():
+                used = np.repeat(valid, n)
+                flat, who = flat[used], who[used]
+            order = np.argsort(flat, kind="stable")
+            flat, who = flat[order], who[order]
+            bucket = ((flat >> _U(32)) * _U(buckets)) >> _U(32)
+            cut, chunk = _edges(bucket), first + seq
+            made = len(cut) - 1
+            where = np.concatenate((bucket[cut[:-1]].astype(np.int64), [chunk * 0x9E3779B1 % buckets]))
+            none = pa.nulls(1, pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(where), pa.array(np.full(made + 1, chunk)), pa.concat_arrays([_packed(flat, cut), none]), pa.concat_arrays([_packed(who, cut), none]), pa.array([None] * made + [about.tobytes()], pa.binary())],
+                names=["bucket", "chunk", "keys", "who", "about"],
+            )
+
         for batch in batches:
-            for a, b in chunks(batch.column(1)):
-                part = batch.slice(a, b - a)
-                flat, at = shingle_sets(part.column(1), words)
-                sketch += np.bincount((flat >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-                n = np.diff(at)
-                sums = [np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(mix(flat + _U(salt)), dtype=np.uint64))) for salt in (1, 2**40 + 1)]
-                cells = [part.column(0), pa.array(n.astype(np.int32)), *(pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums)]
-                yield pa.RecordBatch.from_arrays([*cells, pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
-        parts = sketch.reshape(_SLOTS, -1)
-        used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(used), k) for k in kinds[:4]), pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=names)
+            for i, j in chunks(batch.column(1), CHUNK):
+                part = batch.slice(i, j - i)
+                held.append(part)
+                size, rows = size + len(buffers(part.column(1))[0]), rows + part.num_rows
+                if size >= CHUNK or rows >= _CHUNK_DOCS - 512:
+                    yield close()
+                    held, size, rows, seq = [], 0, 0, seq + 1
+        if held:
+            yield close()
+
+    return docs.mapInArrow(run, _SHINGLES)
 
-    return docs.mapInArrow(run, "id bigint, n int, s1 bigint, s2 bigint, slot int, counts binary")
 
+def _binary(values: list[bytes | None]) -> pa.Array:
+    return pa.array(values, pa.binary())
 
-def sketch_levels(profiled: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """The summed sketch as one byte per counter: four times the binary logarithm of the count."""
-    width = (1 << bits) // _SLOTS
+
+def frequencies(packed: DataFrame) -> DataFrame:
+    """Per chunk and bucket: the shingles of two documents or more, whose they are, and of how many documents; rows about chunks pass."""
+    names = ["chunk", "keys", "who", "freq", "about"]
+
+    def count(rows: list[tuple]) -> pa.RecordBatch:
+        key, who = (np.concatenate([np.frombuffer(r[i], dtype=k) for r in rows]) for i, k in ((1, np.uint64), (2, np.uint16)))
+        order = np.argsort(key, kind="stable")
+        cut = _edges(key[order])
+        freq = np.empty(len(key), dtype=np.uint32)
+        freq[order] = np.repeat(np.diff(cut), np.diff(cut))
+        keep = freq > 1
+        row = np.repeat(np.arange(len(rows)), [len(r[1]) // 8 for r in rows])
+        at = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(rows)))))
+        out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(_packed(x[keep], at) for x in (key, who, freq)), pa.nulls(len(rows), pa.binary())], names=names)
+        return out.filter(pa.array(np.diff(at) > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        held, now = [], None
         for batch in batches:
-            for slot, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums.setdefault(slot, np.zeros(width, dtype=np.uint64))
-                sums[slot] += np.frombuffer(counts.as_buffer(), dtype=np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slot", "counts"])
+            for bucket, chunk, keys, who, about in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if about is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *[pa.nulls(1, pa.binary())] * 3, _binary([about])], names=names)
+                    continue
+                if held and bucket != now:
+                    yield count(held)
+                    held = []
+                now = bucket
+                held.append((chunk, keys, who))
+        if held:
+            yield count(held)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk bigint, keys binary, who binary, freq binary, about binary")
+
+
+_SETS = "id bigint, n int, s1 bigint, s2 bigint, prefix binary, list binary"
+
 
-    summed = profiled.filter("slot is not null").select("slot", "counts").repartition(_SLOTS, "slot").mapInArrow(run, "slot int, counts binary")
-    total = np.zeros(1 << bits, dtype=np.uint64)
-    for slot, counts in summed.collect():  # the sketch has a fixed width
-        total[slot * width : (slot + 1) * width] += np.frombuffer(counts, dtype=np.uint64)
-    return np.minimum(255, np.floor(4 * np.log2(total + 1.0))).astype(np.uint8)
+def sets(counted: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per document: id, n, signature; if its prefix reaches shared shingles, these in order and all shared ones, ascending."""
 
+    def judge(parts: list[tuple], about: bytes) -> pa.RecordBatch:
+        ids, valid, n, s1, s2 = np.frombuffer(about, dtype=np.int64).reshape(5, -1)
+        key, who, freq = (np.concatenate([np.zeros(0, dtype=k), *(np.frombuffer(p[i], dtype=k) for p in parts)]) for i, k in enumerate((np.uint64, np.uint16, np.uint32)))
+        shared = np.bincount(who, minlength=len(ids))
+        size = n - -(-percent * n // 100) + 1
+        reaches = (shared > 0) & (n - shared < size)
+        used = reaches[who]
+        key, who, freq = key[used], who[used], freq[used]
+        count = np.where(reaches, shared, 0)
+        order = np.lexsort((key, who))
+        lists = key[order]
+        order = np.lexsort((key, freq, who))
+        at = np.concatenate(([0], np.cumsum(count)))
+        short = np.where(reaches, np.minimum(size - (n - shared), shared), 0)
+        prefix_at = np.concatenate(([0], np.cumsum(short)))
+        prefix = key[order][np.repeat(at[:-1] - prefix_at[:-1], short) + np.arange(prefix_at[-1])]
+        none = pa.scalar(None, pa.binary())
+        import pyarrow.compute as pc
 
-def prefixes(docs: DataFrame, levels: np.ndarray, buckets: int, words: int, percent: int, bits: int, frequent: int) -> DataFrame:
-    """Packed prefix shingles of ``docs`` (id, text): bucket (negative: frequent, dealt evenly), keys, who, pos, and the documents' ids and ns."""
-    sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2**bits bytes
-    limit = _U(min(255, int(4 * np.log2(frequent + 1.0))))
+        cells = [pc.if_else(pa.array(reaches), _packed(x, cut), none) for x, cut in ((prefix, prefix_at), (lists, at))]
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), *cells], names=["id", "n", "s1", "s2", "prefix", "list"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = sent.value
+        parts, about, now = [], None, None
         for batch in batches:
-            for a, b in chunks(batch.column(1), 8 << 20):
-                part = batch.slice(a, b - a)
-                ids = part.column(0).to_numpy()
-                flat, at = shingle_sets(part.column(1), words)
-                key = (level[(flat >> _U(64 - bits)).astype(np.int64)].astype(np.uint64) << _U(56)) | (flat >> _U(8))
-                n = np.diff(at)
-                for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    key[x:y].sort()
-                size = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-                out_at = np.concatenate(([0], np.cumsum(size)))
-                pos = np.arange(out_at[-1]) - np.repeat(out_at[:-1], size)
-                key, who = key[np.repeat(at[:-1], size) + pos], np.repeat(np.arange(len(n)), size)
-                spread = -1 - np.arange(len(key)) % buckets
-                bucket = np.where((key >> _U(56)) >= limit, spread, (mix(key) % _U(buckets)).astype(np.int64))
-                order = np.argsort(bucket, kind="stable")
-                key, who, pos, bucket = key[order], who[order], pos[order], bucket[order]
-                begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, dtype=np.int64)
-                rows = []
-                for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(bucket)], strict=True):
-                    docs_here, local = np.unique(who[x:y], return_inverse=True)
-                    rows.append((int(bucket[x]), key[x:y].tobytes(), local.astype(np.uint32).tobytes(), pos[x:y].astype(np.uint32).tobytes(), ids[docs_here].tobytes(), n[docs_here].astype(np.uint32).tobytes()))
-                kinds = [pa.int64(), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "keys", "who", "pos", "ids", "ns"])
-
-    return docs.mapInArrow(run, "bucket bigint, keys binary, who binary, pos binary, ids binary, ns binary")
-
-
-_POSTING = "token bigint, id bigint, n int, pos int"
-
-
-def can_pair(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
-    """The filters of ``may_link`` on postings of one shingle."""
-    need = -(-percent * (n + m) // (100 + percent))
-    return (100 * n >= percent * m) & (100 * m >= percent * n) & (np.minimum(n - pos, m - at) >= need)
-
-
-def postings(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows (token, id, n, pos) of the prefix shingles that more than one document has (and of all frequent ones)."""
-
-    def unpack(rows: list[dict]) -> tuple[np.ndarray, ...]:
-        key = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in rows])
-        pos = np.concatenate([np.frombuffer(r["pos"], dtype=np.uint32) for r in rows])
-        who = [np.frombuffer(r["who"], dtype=np.uint32) for r in rows]
-        ids = np.concatenate([np.frombuffer(r["ids"], dtype=np.int64)[w] for r, w in zip(rows, who, strict=True)])
-        n = np.concatenate([np.frombuffer(r["ns"], dtype=np.uint32)[w] for r, w in zip(rows, who, strict=True)])
-        return key, ids, n, pos
-
-    def table(key: np.ndarray, ids: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], names=["token", "id", "n", "pos"])
-
-    def sift(rows: list[dict]) -> pa.RecordBatch:
-        key, ids, n, pos = unpack(rows)
-        order = np.lexsort((ids, key))
-        key, ids, n, pos = key[order], ids[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])  # a row may come twice
-        key, ids, n, pos = key[first], ids[first], n[first], pos[first]
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.concatenate((begin, [len(key)])))
-        keep = np.repeat(size > SHORT_LIST, size)
-        for step in range(1, SHORT_LIST):  # of a short list, only what some other posting may pair with
-            same = (key[step:] == key[:-step]) & can_pair(n[step:], pos[step:], n[:-step], pos[:-step], percent)
-            keep[step:] |= same
-            keep[:-step] |= same
-        return table(key[keep], ids[keep], n[keep], pos[keep])
+            for chunk, *part, facts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if about is not None and chunk != now:
+                    yield judge(parts, about)
+                    parts, about = [], None
+                now = chunk
+                if facts is not None:
+                    about = facts
+                else:
+                    parts.append(part)
+        if about is not None:
+            yield judge(parts, about)
+
+    return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, _SETS)
+
+
+_POSTING = ["token", "id", "n", "pos", "back"]
+
+
+def postings(prefixes: DataFrame) -> DataFrame:
+    """Rows (token, id, n, pos, back) of ``prefixes`` (id, n, shared, prefix): pos counts the shingles of one document alone, which come first.
+
+    ``back`` has the ``BACK`` prefix shingles before: where two documents share one of these, their pair is made there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] < 0:
-                    yield table(*unpack([row]))
-                    continue
-                if held and held[0]["bucket"] != row["bucket"]:
-                    yield sift(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield sift(held)
+            ids, n, shared = (batch.column(i).to_numpy() for i in range(3))
+            raw, at = buffers(batch.column(3))
+            token, size = np.frombuffer(raw.tobytes(), dtype=np.int64), np.diff(at) // 8
+            pos = np.arange(len(token)) - np.repeat(at[:-1] // 8, size) + np.repeat(n - shared, size)
+            most = np.minimum(np.arange(len(token)) - np.repeat(at[:-1] // 8, size), BACK)
+            back_at = np.concatenate(([0], np.cumsum(most)))
+            back = token[np.arange(back_at[-1]) - np.repeat(back_at[1:] - np.arange(len(token)), most)]
+            back = pa.ListArray.from_arrays(pa.array(back_at.astype(np.int32)), pa.array(back))
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(ids, size)), pa.array(np.repeat(n, size)), pa.array(pos.astype(np.int32)), back], names=_POSTING)
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _POSTING)
+    return prefixes.select("id", "n", "shared", "prefix").mapInArrow(run, "token bigint, id bigint, n int, pos int, back array<bigint>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose texts (id, text) are similar. Members of one leader b are dealt to several tasks."""
+def verify(pairs: DataFrame, lists: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of ``pairs`` (a, b), those whose sets (id, n, list) are similar. Members of one leader b are dealt to several tasks."""
     sized = pairs.groupBy("b").agg(F.expr(f"(count(1) + {GROUP_ROWS - 1}) div {GROUP_ROWS}").alias("parts"))
     dealt = pairs.join(sized, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    members = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "part", "a", "text")
-    leads = sized.select("b", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.lit(None).cast("bigint").alias("a")).join(texts.withColumnRenamed("id", "b"), "b")
-    both = members.unionByName(leads.select("b", "part", "a", "text")).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    members = dealt.join(lists.withColumnRenamed("id", "a"), "a").select("b", "part", "a", "n", "list")
+    leads = sized.select("b", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.lit(None).cast("bigint").alias("a")).join(lists.withColumnRenamed("id", "b"), "b")
+    both = members.unionByName(leads.select("b", "part", "a", "n", "list")).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, leader = None, None
+        lead, leader, m = None, None, 0
         for batch in batches:
-            for i, j in chunks(batch.column(2)):
-                part = batch.slice(i, j - i)
-                flat, at = shingle_sets(part.column(2), words)
-                hit = []
-                for k, (b, a) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
-                    own = flat[at[k] : at[k + 1]]
-                    if a is None:
-                        lead, leader = b, own.copy()
-                    elif b == lead and similar(own, leader, percent):
-                        hit.append((a, b))
-                if hit:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in hit], pa.int64()), pa.array([x[1] for x in hit], pa.int64())], names=["a", "b"])
-
-    return both.select("b", "a", "text").mapInArrow(run, "a bigint, b bigint")
-
+            hit = []
+            for b, a, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(raw, dtype=np.uint64)
+                if a is None:
+                    lead, leader, m = b, own, n
+                elif b == lead and similar(own, leader, n, m, percent):
+                    hit.append((a, b))
+            if hit:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in hit], pa.int64()), pa.array([x[1] for x in hit], pa.int64())], names=["a", "b"])
 
-def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """``rows`` with the component of their id (itself if it has no link yet)."""
-    return rows.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return both.select("b", "a", "n", "list").mapInArrow(run, "a bigint, b bigint")
 
 
 def may_link(x: str, y: str, percent: int) -> Column:
@@ -265,67 +297,93 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return length & (F.least(F.expr(f"n{x} - pos{x}"), F.expr(f"n{y} - pos{y}")) >= need)
 
 
-def candidates(found: DataFrame, percent: int = PERCENT) -> DataFrame:
+def mixed_lists(lists: DataFrame) -> DataFrame:
+    """Of ``lists`` (token, id, n, pos, component), those of several components, with the list's size and its largest component (base, most)."""
+    by_comp = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
+    facts = by_comp.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("base"), F.max("rows").alias("most"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("comps"))
+    return lists.select(*_POSTING, "component").join(facts.filter("comps > 1").drop("comps"), "token")
+
+
+def candidates(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b), a > b, of documents of different components that share a prefix shingle and pass the filters.
 
-    ``found`` has token, id, n, pos, component. In each shingle's list the largest component is not joined with
-    itself: only documents outside it look for partners in the list.
+    ``lists`` is of ``mixed_lists``. In each list the largest component is not joined with itself: only documents
+    outside it look for partners in the list.
     """
-    by_comp = found.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = by_comp.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("base"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("token", "base")
-    lists = found.join(mixed, "token")
-    x = lists.filter("component <> base").select("token", "base", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "component")))
-    y = lists.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "component")))
+    x = lists.filter("component <> base").select("token", "base", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "back", "component")))
+    y = lists.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "back", "component")))
     once = (F.col("component_y") == F.col("base")) | (F.col("id_x") > F.col("id_y"))
-    joined = x.join(y, (x["token"] == y["token"]) & (F.col("component_x") != F.col("component_y")) & may_link("_x", "_y", percent) & once)
-    return joined.groupBy(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    first = ~F.arrays_overlap("back_x", "back_y")
+    joined = x.join(y, (x["token"] == y["token"]) & (F.col("component_x") != F.col("component_y")) & may_link("_x", "_y", percent) & once & first)
+    return joined.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
 
 
-def _prepared(docs: DataFrame, key: str, text: str, words: int, percent: int, bits: int, bucket_rows: int, frequent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their class, the postings of class representatives that stand in lists of several, and the texts of these."""
+def leader_pairs(lists: DataFrame, nth: int, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of each document outside the largest component of a list and a member of it: one that the round's hash picks."""
+    speaker = lists.filter("component = base").groupBy("token").agg(F.min_by(F.struct("id", "n", "pos"), F.struct(F.xxhash64("id", F.lit(nth)), "id")).alias("s"))
+    speaker = speaker.select("token", F.col("s.id").alias("lead"), F.col("s.n").alias("n_l"), F.col("s.pos").alias("pos_l"))
+    met = lists.filter("component <> base").join(speaker, "token").filter(may_link("", "_l", percent))
+    return met.groupBy("id", "lead").agg(F.count(F.lit(1)).alias("shared")).select("id", "shared", F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b"))
+
+
+def _prepared(docs: DataFrame, key: str, text: str, words: int, percent: int, bucket_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their class, the postings of class representatives that stand in lists of several, and the sets of these."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    profiled = materialise(profile(rows, words, bits), "profile")
-    levels = sketch_levels(profiled, bits)
-    sets = profiled.filter("slot is null").select("id", "n", "s1", "s2")
-    classes = sets.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("class_id"))
-    members = sets.join(classes, ["s1", "s2", "n"], "left").select("id", "n", "class_id")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = materialise(sets(frequencies(scan(rows, max(64, total // (6 * bucket_rows)), words)), percent), "sets")
+    narrow = found.select("id", "n", "s1", "s2")
+    classes = narrow.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("class_id"))
+    members = join_groups(narrow, classes, ["s1", "s2", "n"], F.col("id")).select("id", "n", "class_id")
     members = materialise(members.withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))), "classes")
-    total = members.agg(F.sum(F.expr(f"n * {100 - percent} div 100 + 1"))).first()[0] or 0
-    buckets = max(64, int(total // bucket_rows))
-    packed = prefixes(rows.filter("id is not null"), levels, buckets, words, percent, bits, frequent)
-    reps = members.filter("id = class_id and n > 0").select("id").distinct()
-    found = postings(packed, percent).join(reps, "id", "left_semi")
-    spread = materialise(found, "postings")
-    leads = spread.groupBy("token").agg(F.min(F.struct("id", "n", "pos")).alias("l"), F.max("id").alias("high")).filter("l.id < high")
-    leads = leads.select("token", F.col("l.id").alias("low"), F.col("l.n").alias("n_l"), F.col("l.pos").alias("pos_l"))
-    spread = materialise(spread.join(leads, "token"), "shared-postings")
-    # the same plan at every size: ids of candidates are never broadcast
-    texts = materialise(rows.join(spread.select("id").distinct().hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "candidate-texts")
-    return members, spread, texts
-
-
-def all_links(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bits: int = SKETCH_BITS, bucket_rows: int = BUCKET_ROWS, frequent: int = FREQUENT) -> DataFrame:
+    reps = members.filter("id = class_id").select("id").distinct()
+    lists = found.filter("list is not null and id is not null").select("id", "n", "prefix", "list")
+    prefixes = lists.select("id", "n", F.expr("octet_length(list) div 8").cast("int").alias("shared"), "prefix").join(reps, "id", "left_semi").dropDuplicates(["id"])
+    spread = materialise(postings(prefixes), "postings")
+    several = spread.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token")
+    shared = materialise(spread.join(several, "token"), "shared-postings")
+    finished(spread)
+    return members, shared, lists.select("id", "n", "list").dropDuplicates(["id"])
+
+
+def all_links(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All links a, b (a > b) between representatives (least ids) of classes of equal sets: in a group as many as its pairs.
 
     Every candidate pair is verified, whether or not other links connect it already.
     """
-    _, spread, texts = _prepared(docs, key, text, words, percent, bits, bucket_rows, frequent)
-    lists = spread.select("token", "id", "n", "pos", F.col("id").alias("component"))  # each on its own: no pair is skipped
-    pairs = materialise(candidates(lists, percent).select("a", "b"), "pairs")
-    return verify(pairs, texts, words, percent)
+    _, shared, lists = _prepared(docs, key, text, words, percent, bucket_rows)
+    pairs = materialise(candidates(mixed_lists(shared.withColumn("component", F.col("id"))), percent), "pairs")  # each on its own: no pair is skipped
+    return verify(pairs, lists, percent)
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bits: int = SKETCH_BITS, bucket_rows: int = BUCKET_ROWS, frequent: int = FREQUENT) -> DataFrame:
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bucket_rows: int = BUCKET_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """Per row: key, n_shingles, class_id (least id of the equal sets) and component_id (least id reachable by links)."""
-    members, spread, texts = _prepared(docs, key, text, words, percent, bits, bucket_rows, frequent)
-    first = spread.filter(F.expr("id <> low") & may_link("", "_l", percent)).groupBy("id", "low").agg(F.count(F.lit(1)).alias("shared")).groupBy("id").agg(F.max_by("low", F.struct("shared", "low")).alias("low"))
-    tried = materialise(first.select(F.col("id").alias("a"), F.col("low").alias("b")), "leader-pairs")
-    links = materialise(verify(tried, texts, words, percent), "links")
-    comps = materialise(components(links), "components")
-    lists = spread.select("token", "id", "n", "pos")
+    members, shared, lists = _prepared(docs, key, text, words, percent, bucket_rows)
+    open_lists, tried, comps = materialise(mixed_lists(shared.withColumn("component", F.col("id"))), "lists"), None, None
+    finished(shared)
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal tried, comps
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        hits = materialise(verify(pairs, lists, percent), "links")
+        if comps is not None:  # a component so far is a star around its least id
+            hits = hits.unionByName(comps.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+        comps = materialise(components(hits), "components")
+
+    before = 0
+    for nth in range(rounds):
+        # what the join below may have to look at, if the round before lessened it much
+        left, rows = open_lists.agg(F.coalesce(F.sum(F.expr("if(component <> base, rows, 0)")), F.lit(0)), F.count(F.lit(1))).first()
+        if nth and (left <= rows or left > before * 3 // 4):
+            break
+        before = left
+        met = leader_pairs(open_lists, nth, percent)
+        fresh = met if tried is None else met.join(tried, ["a", "b"], "left_anti")
+        best = fresh.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        settle(materialise(best, "leader-pairs"))
+        labelled = open_lists.select(*_POSTING).join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        last, open_lists = open_lists, materialise(mixed_lists(labelled), "lists")
+        finished(last)
     # what still differs
-    pairs = materialise(candidates(_labelled(lists, comps), percent).join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs")
-    links = materialise(links.unionByName(verify(pairs, texts, words, percent)), "links")
-    comps = materialise(components(links), "components")
+    settle(materialise(candidates(open_lists, percent).join(tried, ["a", "b"], "left_anti"), "pairs"))
     named = members.join(comps.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters outside this class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -65,7 +66,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def finished(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more: what was made of them is written itself."""
+    for table in tables:
+        discard(table.sparkSession, table._shared_path)
+
+
+#: Tasks that rows of one group are dealt to.
+SALTS = 256
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, by: list[str], key: Column, salts: int = SALTS) -> DataFrame:
+    """``rows`` left joined to ``groups`` (one row for each ``by``): a group's rows are dealt to tasks by ``key``, and its facts go along."""
+    salt = free_name([*rows.columns, *groups.columns], "salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
+    there = dealt.select(*by, salt).distinct().join(groups, by)
+    return dealt.join(there, [*by, salt], "left").drop(salt)
 
 
 def small_batches(spark: SparkSession) -> None:
