@@ -5,7 +5,15 @@ distinct words to DuckDB as token-position rows. A recursive query joins each pa
 merge table and contracts the leftmost pair of least rank of each word until no pair is left. Decoding is
 an ordered aggregation of the tokens' bytes, by word and then by text. No rows are shuffled.
 
-Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded alike;
+A round contracts one pair of a word, so a long word would take rounds in proportion to its length, each over all of it.
+It is cut into overlapping pieces instead, which are words of the same query. Contraction never looks beyond two
+neighbouring tokens: a sequence is a word's encoding just if each two neighbours are the encoding of their bytes. So
+where two pieces have a token in common, the first one's tokens up to it and the second one's after it are
+the encoding of both. Pieces without a common token become one and are encoded again; one of more than
+``LONGEST_PIECE`` bytes (as of a letter repeated a million times) is contracted with a heap, in the same order.
+
+Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded alike; a word may be
+of any length, and a task holds some thirty times the size of one text; an empty table gives an empty one;
 extra columns are kept, and an output column whose name is taken gets a leading underscore.
 """
 
@@ -13,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +34,9 @@ from .wordhash import buffers, chunks, hash_spans
 
 #: Distinct words whose ids a Python worker remembers between batches; beyond it the memory starts anew.
 REMEMBERED_WORDS = 600_000
+#: Bytes of a word from which it is cut, of a piece without its overlap, of the overlap, and of a piece that is contracted
+#: by rounds at most; token rows of a recursive query at most (about), over all its rounds.
+LONG_WORD, PIECE, OVERLAP, LONGEST_PIECE, QUERY_ROWS = 192, 64, 32, 2048, 4_000_000
 
 _CONTRACT = """
 WITH RECURSIVE step(w, it, pos, tok, npos, ntok) AS (
@@ -42,7 +54,7 @@ WITH RECURSIVE step(w, it, pos, tok, npos, ntok) AS (
   WHERE s.pos <> c.gone
 )
 SELECT w, pos, tok FROM step JOIN (SELECT w AS last_w, max(it) AS last FROM step GROUP BY w) ON w = last_w AND it = last
-ORDER BY pos
+ORDER BY w, pos
 """
 _WORDS = "SELECT word, list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocabulary USING (id) GROUP BY word ORDER BY word"
 _TEXTS = "SELECT doc, list(word_bytes ORDER BY pos) AS parts FROM placed JOIN spelt USING (word) GROUP BY doc ORDER BY doc"
@@ -172,7 +184,8 @@ class Codec:
         self.ranks = load_ranks(path)
         self.splitter = Splitter()
         self.db = duckdb.connect()
-        self.db.execute("SET threads = 1; SET memory_limit = '400MB'; SET preserve_insertion_order = false")
+        # nothing is spilled to a worker's own disk: queries are cut so that they fit
+        self.db.execute("SET threads = 1; SET memory_limit = '600MB'; SET temp_directory = ''; SET preserve_insertion_order = false")
         rows = np.array(merge_rows(self.ranks), dtype=np.int64).reshape(-1, 3)
         merges = pa.table({"pair": (rows[:, 0] << 32) | rows[:, 1], "made": rows[:, 2].astype(np.int32)})  # noqa: F841
         vocabulary = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})  # noqa: F841
@@ -184,6 +197,9 @@ class Codec:
         self.db.unregister("given")
         self.of_byte = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         self.ids_of, self.bytes_of = Memo(np.int32), Memo(np.uint8)
+        self.lengths = np.zeros(max(self.ranks.values()) + 1, dtype=np.int64)
+        self.lengths[list(self.ranks.values())] = [len(t) for t in self.ranks]
+        self.made_of: dict[tuple[int, int], int] | None = None
 
     def _query(self, sql: str, **tables: pa.Table) -> pa.Table:
         for name, table in tables.items():
@@ -195,28 +211,95 @@ class Codec:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and where each word's begin."""
-        whole = np.array([self.ranks.get(w, -1) for w in words], dtype=np.int64)
-        todo = np.flatnonzero(whole < 0)
-        lens = np.array([len(words[i]) for i in todo], dtype=np.int64)
-        raw = np.frombuffer(b"".join(words[i] for i in todo), dtype=np.uint8)
-        counts = np.ones(len(words), dtype=np.int64)
-        made = np.zeros(0, dtype=np.int32)
-        if len(todo):
-            w, pos, tok = np.repeat(np.arange(len(todo)), lens), np.arange(len(raw)), self.of_byte[raw]
-            if (tok < 0).any():
-                raise ValueError("the rank file lacks some single bytes")
-            inside = np.concatenate((w[1:] == w[:-1], [False]))
-            npos, ntok = np.where(inside, pos + 1, -1), np.where(inside, np.concatenate((tok[1:], [0])), -1)
-            letters = pa.table({k: v.astype(np.int32) for k, v in (("w", w), ("pos", pos), ("tok", tok), ("npos", npos), ("ntok", ntok))})
-            got = self._query(_CONTRACT, letters=letters)
-            counts[todo] = np.bincount(got["w"].to_numpy(), minlength=len(todo))
-            made = got["tok"].to_numpy()
-        at = np.concatenate(([0], np.cumsum(counts)))
-        ids = np.empty(at[-1], dtype=np.int32)
-        single = np.flatnonzero(whole >= 0)
-        ids[at[single]] = whole[single]
-        ids[np.repeat(whole < 0, counts)] = made
-        return ids, at
+        made: list[np.ndarray | None] = [None] * len(words)
+        short = []
+        for i, word in enumerate(words):
+            whole = self.ranks.get(word)
+            if whole is not None:
+                made[i] = np.array([whole], dtype=np.int32)
+            elif len(word) <= LONG_WORD:
+                short.append(i)
+            else:
+                made[i] = self._long(word)
+        for i, ids in zip(short, self._contract([words[i] for i in short]), strict=True):
+            made[i] = ids
+        at = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int64)
+        return np.concatenate(made) if made else np.zeros(0, dtype=np.int32), at
+
+    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word, by recursive queries over bounded numbers of rows."""
+        out: list[np.ndarray] = []
+        first, rows = 0, 0
+        for i, word in enumerate(words):
+            rows += len(word) * (len(word) + 8) // 4
+            if rows >= QUERY_ROWS or i == len(words) - 1:
+                out += self._rounds(words[first : i + 1])
+                first, rows = i + 1, 0
+        return out
+
+    def _rounds(self, words: list[bytes]) -> list[np.ndarray]:
+        raw = np.frombuffer(b"".join(words), dtype=np.uint8)
+        w, pos, tok = np.repeat(np.arange(len(words)), [len(x) for x in words]), np.arange(len(raw)), self.of_byte[raw]
+        if (tok < 0).any():
+            raise ValueError("the rank file lacks some single bytes")
+        inside = np.concatenate((w[1:] == w[:-1], [False]))
+        npos, ntok = np.where(inside, pos + 1, -1), np.where(inside, np.concatenate((tok[1:], [0])), -1)
+        letters = pa.table({k: v.astype(np.int32) for k, v in (("w", w), ("pos", pos), ("tok", tok), ("npos", npos), ("ntok", ntok))})
+        got = self._query(_CONTRACT, letters=letters)
+        counts = np.bincount(got["w"].to_numpy(), minlength=len(words))
+        return np.split(got["tok"].to_numpy(), np.cumsum(counts)[:-1])
+
+    def _long(self, word: bytes) -> np.ndarray:
+        """The ids of a long word, by overlapping pieces."""
+        ranges = [(a, min(a + PIECE + OVERLAP, len(word))) for a in range(0, max(len(word) - OVERLAP, 1), PIECE)]
+        done: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        while True:
+            todo = [r for r in ranges if r not in done]
+            rounds = [r for r in todo if r[1] - r[0] <= LONGEST_PIECE]
+            for (a, b), ids in (*zip(rounds, self._contract([word[a:b] for a, b in rounds]), strict=True), *((r, self._heap(word[r[0] : r[1]])) for r in todo if r[1] - r[0] > LONGEST_PIECE)):
+                done[a, b] = ids, a + np.concatenate(([0], np.cumsum(self.lengths[ids])))
+            merged, taken, fits = [ranges[0]], [0], True
+            for r in ranges[1:]:
+                # the first token that both have: where it ends, the second goes on
+                (_, x), (_, y) = done.get(merged[-1], (None, None)), done[r]
+                cut = None
+                if x is not None:
+                    both = np.intersect1d(x[:-1] * (1 << 20) + np.diff(x), y[:-1] * (1 << 20) + np.diff(y), assume_unique=True)
+                    cut = (both[0] >> 20) + (both[0] & ((1 << 20) - 1)) if len(both) else None
+                if cut is None:
+                    merged[-1], fits = (merged[-1][0], r[1]), False
+                else:
+                    merged.append(r)
+                    taken.append(int(cut))
+            if fits:
+                parts = []
+                for r, a, b in zip(ranges, taken, [*taken[1:], len(word)], strict=True):
+                    ids, at = done[r]
+                    parts.append(ids[np.searchsorted(at, a) : np.searchsorted(at, b)])
+                return np.concatenate(parts)
+            ranges = merged
+
+    def _heap(self, word: bytes) -> np.ndarray:
+        """The same contraction of one word, leftmost pair of least rank first, with a heap."""
+        if self.made_of is None:
+            self.made_of = {(a, b): r for a, b, r in merge_rows(self.ranks)}
+        made_of, tok, n = self.made_of, self.of_byte[np.frombuffer(word, dtype=np.uint8)].tolist(), len(word)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(r, i) for i in range(n - 1) if (r := made_of.get((tok[i], tok[i + 1]))) is not None]
+        heapq.heapify(queue)
+        while queue:
+            rank, i = heapq.heappop(queue)
+            j = after[i] if tok[i] >= 0 else n
+            if j >= n or made_of.get((tok[i], tok[j])) != rank:
+                continue  # one of the two is no more what it was
+            tok[i], tok[j], after[i] = rank, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (r := made_of.get((rank, tok[after[i]]))) is not None:
+                    heapq.heappush(queue, (r, i))
+            if before[i] >= 0 and (r := made_of.get((tok[before[i]], rank))) is not None:
+                heapq.heappush(queue, (r, before[i]))
+        return np.array([t for t in tok if t >= 0], dtype=np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, the range of ids of each text, and where words begin in the ids."""
@@ -341,5 +424,6 @@ def digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                     cells.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cells, names=[*front, *(f.name for f in added)])
 
+    added = [T.StructField(free_name(front, f.name), f.dataType) for f in added]
     rows = docs.select(*front, text)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:spot], *added]))

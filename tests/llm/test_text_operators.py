@@ -170,6 +170,46 @@ def test_bpe_columns(spark, reference):
     assert bpe.digest(df.limit(0), PATH).count() == 0
 
 
+def _letters(rng, n):
+    return "".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", k=n))
+
+
+def test_long_words_equal_the_library(reference):
+    rng = random.Random(23)
+    long = [_letters(rng, 20_000), "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(10_000)), "b" + "a" * 9_000, "ab" * 3_000, "=-" * 2_000 + "=" * 999, "".join(rng.choices(["the", "ing", "und", "ab"], k=5_000)), " " * 3_000 + "x"]
+    texts = [*long, *(_letters(rng, n) for n in range(185, 200)), "x" * 193, long[0][:5_000] + " " + long[1]]
+    codec = bpe.Codec(PATH)
+    ids, at, words = codec.encode(pa.array(texts))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [reference.encode_ordinary(t) for t in texts]
+    assert codec.decode(ids, at, words) == [t.encode() for t in texts]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.text(alphabet="aabhetin", min_size=100, max_size=400))
+def test_pieces_and_the_heap_contract_alike(reference, word):
+    codec, data = bpe.codec(PATH), word.encode()
+    want = reference.encode_ordinary(word)
+    assert codec._long(data).tolist() == want == codec._heap(data).tolist() == codec._rounds([data])[0].tolist()
+
+
+def test_a_word_of_a_million_letters(reference):
+    text = _letters(random.Random(29), 1_000_000)
+    ids, at, words = bpe.codec(PATH).encode(pa.array([text]))
+    assert ids.tolist() == reference.encode_ordinary(text)
+
+
+def test_bpe_digest(spark, reference):
+    rows = [(1, "Hello world, it's", "k"), (2, None, None), (3, "", "k"), (1, "Hello world, it's", "k"), (None, "x" * 300 + " é" * 50 + "中" * 700, "k")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string")
+    got = bpe.digest(df, PATH, keep=("n_tokens",), with_ids=True)
+    assert got.columns == ["doc_id", "n_tokens", "_n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "ids"]
+    want = []
+    for i, t, k in rows:
+        ids, raw = reference.encode_ordinary(t or ""), (t or "").encode()
+        want.append((i, k, len(ids), hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), hashlib.sha256(raw).hexdigest(), len(raw), ids))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
 def test_language_id_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
