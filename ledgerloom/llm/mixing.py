@@ -6,15 +6,14 @@ released block of earliest deadline runs. This keeps every source within one blo
 The driver works this out for blocks (never for rows) in exact integers, whatever the number of sources, and
 writes it in pieces; a row finds its slot by its rank.
 
-With a ``period``, weights are first rounded to slots of a period, one at least, and the schedule of one period
-repeats: the bound then holds against the rounded weights only, and at most ``MOST_SOURCES`` sources share it.
-
 Ranks need no task that holds a source: rows go to small hash ranges, ranges are counted, and running sums
-of the counts place each range. Every row is returned once; ``in_mix`` ends where the first source runs out,
-the other sources go on: without gaps, or with a ``period`` in their own slots.
+of the counts place each range. Every row is returned once and whole; ``in_mix`` ends where the first source runs out,
+the other sources go on without gaps.
 
-Defined results: a null source is the source ''; sources of weight 0 or without a weight get null slots;
-repeated rows are rows of their own; an empty table gives an empty one; extra columns stay.
+Defined results: a null source is the source ''; sources of weight 0 or without a weight get null slots; a null key
+comes first; rows of one key are ordered by a hash of all their columns, and only equal rows change places;
+repeated rows are rows of their own; an empty table gives an empty one; extra columns stay, of whatever name; texts of any
+length are carried along and not looked at.
 """
 
 from __future__ import annotations
@@ -27,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialise, new_path
+from .shared import free_name, free_prefix, materialise, new_path
 
-#: Production parameters: rows of a block, slots of a period (about), exponent of the default weights, rows of a
-#: hash range, sources at most that share the schedule of a period.
-BLOCK_ROWS, PERIOD, ALPHA, RANGE_ROWS, MOST_SOURCES = 16, 1024, 0.5, 2048, 4096
+#: Production parameters: rows of a block, exponent of the default weights, rows of a hash range. The driver takes about a
+#: second for a million blocks: a corpus of more than 10**10 rows wants longer ones.
+BLOCK_ROWS, ALPHA, RANGE_ROWS = 16, 0.5, 2048
 _HASH_BITS = 30
 #: Slots that the driver holds at a time.
 _PIECE = 1 << 20
@@ -45,41 +44,14 @@ def _order_hash(key: Column) -> Column:
 def targets(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, alpha: float = ALPHA) -> DataFrame:
     """Per source: rows n and weight w, of any sum; default weights are sizes to the power ``alpha``."""
     sizes = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("src")).agg(F.count(F.lit(1)).alias("n"))
+    if weights is None and alpha == 0.5:
+        return sizes.withColumn("w", F.sqrt("n"))  # rounded rightly everywhere, as a power need not be
     if weights is None:
         return sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
     table = F.create_map(*[F.lit(x) for s, w in weights.items() for x in (s, float(w))])
     return sizes.withColumn("w", F.coalesce(F.get(F.map_values(F.map_filter(table, lambda k, _: k == F.col("src"))), F.lit(0)), F.lit(0.0)))
 
 
-def shares(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, alpha: float = ALPHA, period: int = PERIOD) -> DataFrame:
-    """Per source: rows n and integer share of a period; weights as for ``targets``."""
-    sizes = targets(docs, source, weights, alpha)
-    every = Window.partitionBy(F.lit(0))
-    of_all = F.sum("w").over(every)
-    share = F.when(F.col("w") > 0, F.greatest(F.lit(1), F.floor(period * F.col("w") / of_all + 0.5).cast("int"))).otherwise(F.lit(0))
-    checked = F.when(F.count(F.lit(1)).over(every) <= MOST_SOURCES, share).otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources")).cast("int"))
-    return sizes.select("src", "n", checked.alias("share"))
-
-
-def schedule(share_rows: DataFrame) -> DataFrame:
-    """Per source and block number within a period: src, share, period, turn, slot: earliest deadline first."""
-    one = share_rows.filter("share > 0").agg(F.sort_array(F.collect_list(F.struct("src", "share"))).alias("s")).withColumn("period", F.aggregate("s", F.lit(0), lambda x, y: x + y["share"]))
-    run = one.withColumn(
-        "chosen",
-        F.expr("""
-        if(period = 0, cast(array() as array<int>), aggregate(sequence(0, period - 1), named_struct('done', transform(s, x -> 0), 'chosen', cast(array() as array<int>)),
-          (acc, t) -> transform(array(
-              array_min(filter(zip_with(s, sequence(0, size(s) - 1), (x, i) -> if(
-                  acc.done[i] < x.share and (cast(acc.done[i] as bigint) * period) div x.share <= t,
-                  named_struct('deadline', ((acc.done[i] + 1L) * period + x.share - 1) div x.share, 'i', i), null)), y -> y is not null)).i),
-            pick -> named_struct('done', transform(acc.done, (d, i) -> if(i = pick, d + 1, d)), 'chosen', concat(acc.chosen, array(pick))))[0],
-          acc -> acc.chosen))"""),
-    )
-    slots = run.select("s", "period", F.posexplode("chosen").alias("slot", "i")).select(F.get("s", F.col("i")).alias("x"), "period", "slot")
-    by_source = Window.partitionBy("src").orderBy("slot")
-    return slots.select("x.src", "x.share", "period", "slot").withColumn("turn", F.row_number().over(by_source) - 1)
-
-
 def _turns(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int]]:
     """Slot by slot, the source that runs and the number of its block; earliest deadline first, ties by position."""
     ratios = [w.as_integer_ratio() for w in weights]
@@ -132,40 +104,23 @@ def exact_schedule(spark: SparkSession, sizes: DataFrame, block_rows: int = BLOC
     return spark.read.schema(schema).parquet(path), horizon
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA, period: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, alpha: float = ALPHA) -> DataFrame:
     """``docs`` with slot (long), place in the block (long) and in_mix; order by slot, place is the mix."""
-    names = {c: free_name(docs.columns, c) for c in ("slot", "place", "in_mix", "mix_src", "mix_hash", "mix_range")}
-    src, h, rng = names["mix_src"], names["mix_hash"], names["mix_range"]
-    if period is None:
-        sources = materialise(targets(docs, source, weights, alpha), "mix-targets")
-        slots, horizon = exact_schedule(docs.sparkSession, sources, block_rows)
-    else:
-        sources = materialise(shares(docs, source, weights, alpha, period), "mix-shares")
-        turns = materialise(schedule(sources), "mix-schedule")
-        # the last block of each source, and with it the slot up to which all sources last
-        last = sources.filter("share > 0").withColumn("block", F.expr(f"(n - 1) div {block_rows}"))
-        ends = last.join(turns.select("src", "turn", "slot", "period"), "src").filter("turn = block % share").select(F.expr("(block div share) * period + slot").alias("slot"))
-        horizon = ends.agg(F.min("slot")).first()[0]
-    known = sources.select(F.col("src").alias(src), F.greatest(F.lit(1), F.expr(f"(n + {RANGE_ROWS - 1}) div {RANGE_ROWS}")).alias(f"{rng}s"), *([] if period is None else [F.col("share").alias(f"{src}_share")]))
+    names = {c: free_name(docs.columns, c) for c in ("slot", "place", "in_mix")}
+    own = free_prefix(docs.columns, "mix_")
+    src, h, rng, n_ranges, before, rank, slots = (f"{own}{c}" for c in ("src", "hash", "range", "ranges", "before", "rank", "slots"))
+    sources = materialise(targets(docs, source, weights, alpha), "mix-targets")
+    schedule, horizon = exact_schedule(docs.sparkSession, sources, block_rows)
+    known = sources.select(F.col("src").alias(src), F.greatest(F.lit(1), F.expr(f"(n + {RANGE_ROWS - 1}) div {RANGE_ROWS}")).alias(n_ranges))
     placed = docs.withColumn(src, F.coalesce(F.col(source), F.lit(""))).withColumn(h, _order_hash(F.col(key)))
-    placed = placed.join(known, src).withColumn(rng, F.shiftright(F.shiftright(F.col(h), 60 - _HASH_BITS) * F.col(f"{rng}s"), _HASH_BITS))
-    sizes = placed.groupBy(src, rng).agg(F.count(F.lit(1)).alias(f"{rng}_n"))
-    before = sizes.withColumn(f"{rng}_before", F.sum(f"{rng}_n").over(Window.partitionBy(src).orderBy(rng)) - F.col(f"{rng}_n"))
-    inside = Window.partitionBy(src, rng).orderBy(h, key)
-    at = f"{rng}_rank"
-    if period is None:
-        # each range takes along the slots of its blocks, so rows are not shuffled again to find theirs
-        first = F.expr(f"`{rng}_before` div {block_rows}")
-        spans = before.withColumn("block", F.explode(F.sequence(first, F.expr(f"(`{rng}_before` + `{rng}_n` - 1) div {block_rows}"))))
-        spans = spans.join(slots.withColumnRenamed("src", src), [src, "block"], "left").groupBy(src, rng, f"{rng}_before").agg(F.sort_array(F.collect_list(F.struct("block", "slot")))["slot"].alias(f"{rng}_slots"))
-        ranked = placed.withColumn(at, F.row_number().over(inside) - 1).join(spans, [src, rng])
-        got = ranked.withColumn(at, F.col(f"{rng}_before") + F.col(at)).withColumn(f"{rng}_slot", F.get(f"{rng}_slots", (F.expr(f"`{at}` div {block_rows}") - first).cast("int")))
-        slot = F.col(f"{rng}_slot")
-    else:
-        ranked = placed.join(before.drop(f"{rng}_n"), [src, rng]).withColumn(at, F.col(f"{rng}_before") + F.row_number().over(inside) - 1)
-        ranked = ranked.withColumn(f"{rng}_block", F.expr(f"`{at}` div {block_rows}")).withColumn(f"{rng}_turn", F.when(F.col(f"{src}_share") > 0, F.col(f"{rng}_block") % F.col(f"{src}_share")))
-        table = turns.select(F.col("src").alias(src), F.col("turn").cast("long").alias(f"{rng}_turn"), F.col("slot").alias(f"{rng}_slot"), F.col("period").alias(f"{rng}_period"))
-        got = ranked.join(F.broadcast(table), [src, f"{rng}_turn"], "left")  # period slots at most: bounded by the parameters
-        slot = F.expr(f"(`{rng}_block` div `{src}_share`) * `{rng}_period` + `{rng}_slot`")
-        slot = F.when(F.col(f"{src}_share") > 0, slot).cast("long")
-    return got.select(*docs.columns, slot.alias(names["slot"]), F.expr(f"`{at}` % {block_rows}").cast("long").alias(names["place"]), F.coalesce(slot <= F.lit(horizon), F.lit(False)).alias(names["in_mix"]))
+    placed = placed.join(known, src).withColumn(rng, F.shiftright(F.shiftright(F.col(h), 60 - _HASH_BITS) * F.col(n_ranges), _HASH_BITS))
+    sizes = placed.groupBy(src, rng).agg(F.count(F.lit(1)).alias("n"))
+    begins = sizes.withColumn(before, F.sum("n").over(Window.partitionBy(src).orderBy(rng)) - F.col("n"))
+    # each range takes along the slots of its blocks, so rows are not shuffled again to find theirs
+    first = F.expr(f"`{before}` div {block_rows}")
+    spans = begins.withColumn("block", F.explode(F.sequence(first, F.expr(f"(`{before}` + n - 1) div {block_rows}"))))
+    spans = spans.join(schedule.withColumnRenamed("src", src), [src, "block"], "left").groupBy(src, rng, before).agg(F.sort_array(F.collect_list(F.struct("block", "slot")))["slot"].alias(slots))
+    inside = Window.partitionBy(src, rng).orderBy(h, key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    ranked = placed.withColumn(rank, F.row_number().over(inside) - 1).join(spans, [src, rng]).withColumn(rank, F.col(before) + F.col(rank))
+    slot = F.get(slots, (F.expr(f"`{rank}` div {block_rows}") - first).cast("int"))
+    return ranked.select(*docs.columns, slot.alias(names["slot"]), F.expr(f"`{rank}` % {block_rows}").cast("long").alias(names["place"]), F.coalesce(slot <= F.lit(horizon), F.lit(False)).alias(names["in_mix"]))

@@ -37,8 +37,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # its SQL defines the results by weights rounded to slots of a period
-    return mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source"), period=mixing.PERIOD)
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,20 +102,21 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= {warc.LEAST_REVISITED} AND page_id <> best THEN best END AS refers_to, true AS digest_ok FROM m""",
     "op4_mixing": f"""
 WITH RECURSIVE sizes AS (SELECT coalesce(source, '') AS src, count(*) AS n FROM documents GROUP BY 1),
-w AS (SELECT src, n, greatest(1, floor({mixing.PERIOD} * pow(n, {mixing.ALPHA}) / sum(pow(n, {mixing.ALPHA})) OVER () + 0.5))::BIGINT AS share FROM sizes),
-s AS (SELECT list(src ORDER BY src) AS srcs, list(share ORDER BY src) AS shares, sum(share)::BIGINT AS period, count(*) AS k FROM w),
-run(t, done, pick) AS (
-  SELECT -1::BIGINT, list_transform(shares, lambda x: 0::BIGINT), NULL::BIGINT FROM s
+w AS (SELECT src, (sqrt(n) * 4503599627370496)::HUGEINT AS w, ((n + {mixing.BLOCK_ROWS - 1}) // {mixing.BLOCK_ROWS})::HUGEINT AS blocks FROM sizes),
+s AS (SELECT list(src ORDER BY src) AS srcs, list(w ORDER BY src) AS ws, list(blocks ORDER BY src) AS bs, sum(w)::HUGEINT AS total, count(*) AS k FROM w),
+run(slot, now, done, pick) AS (
+  SELECT -1::BIGINT, 0::HUGEINT, list_transform(srcs, lambda x: 0::HUGEINT), 0::BIGINT FROM s
   UNION ALL
-  SELECT t, list_transform(range(1, k + 1), lambda i: done[i] + (i = pick)::BIGINT), pick FROM (
-    SELECT r.t + 1 AS t, r.done, s.k, list_min(list_filter(list_transform(range(1, k + 1), lambda i: CASE WHEN r.done[i] < s.shares[i] AND (r.done[i] * s.period) // s.shares[i] <= r.t + 1
-      THEN (((r.done[i] + 1) * s.period + s.shares[i] - 1) // s.shares[i]) * 100000 + i END), lambda x: x IS NOT NULL)) % 100000 AS pick
-    FROM run r, s WHERE r.t + 1 < s.period)),
-slots AS (SELECT srcs[pick] AS src, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn, period FROM run, s WHERE pick IS NOT NULL),
-ends AS (SELECT min((((n - 1) // {mixing.BLOCK_ROWS}) // share) * period + slot) AS horizon FROM w JOIN slots USING (src) WHERE turn = ((n - 1) // {mixing.BLOCK_ROWS}) % share),
-ranked AS (SELECT doc_id, source, coalesce(source, '') AS src, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, doc_id) - 1 AS rank FROM documents)
-SELECT doc_id, source, (((rank // {mixing.BLOCK_ROWS}) // share) * period + slot)::BIGINT AS slot, (rank % {mixing.BLOCK_ROWS})::BIGINT AS place, ((rank // {mixing.BLOCK_ROWS}) // share) * period + slot <= horizon AS in_mix
-FROM ranked JOIN w USING (src) JOIN slots ON slots.src = ranked.src AND slots.turn = (rank // {mixing.BLOCK_ROWS}) % share, ends""",
+  SELECT slot, now + 1, list_transform(range(1, k + 1), lambda i: done[i] + (i = pick)::HUGEINT), pick FROM (
+    SELECT slot + 1 AS slot, now, done, k, (list_min(list_filter(list_transform(range(1, k + 1), lambda i: CASE WHEN release[i] <= now THEN (((done[i] + 1) * total + ws[i] - 1) // ws[i]) * 100000 + i END), lambda x: x IS NOT NULL)) % 100000)::BIGINT AS pick
+    FROM (SELECT slot, done, greatest(now, list_min(list_filter(release, lambda x: x IS NOT NULL))) AS now, release, ws, total, k
+      FROM (SELECT r.slot, r.now, r.done, s.ws, s.total, s.k, list_transform(range(1, s.k + 1), lambda i: CASE WHEN r.done[i] < s.bs[i] THEN (r.done[i] * s.total) // s.ws[i] END) AS release FROM run r, s))
+    WHERE now IS NOT NULL AND len(list_filter(release, lambda x: x IS NOT NULL)) > 0)),
+slots AS (SELECT srcs[pick] AS src, slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block FROM run, s WHERE pick > 0),
+ends AS (SELECT min(slot) AS horizon FROM slots JOIN w USING (src) WHERE block = blocks - 1),
+ranked AS (SELECT *, coalesce(source, '') AS src, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT, doc_id) - 1 AS rank FROM documents)
+SELECT doc_id, text, lang, source, n_chars, slot, (rank % {mixing.BLOCK_ROWS})::BIGINT AS place, slot <= horizon AS in_mix
+FROM ranked JOIN slots ON slots.src = ranked.src AND block = rank // {mixing.BLOCK_ROWS}, ends""",
     "op6_quality_rules": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, host, text, {_WORDS} AS words FROM d),

@@ -102,3 +102,10 @@ def free_name(taken: list[str], base: str) -> str:
     while base.lower() in low:
         base = f"_{base}"
     return base
+
+
+def free_prefix(taken: list[str], base: str) -> str:
+    """``base``, or ``base`` with underscores before it until no column of ``taken`` begins with it (case-insensitive)."""
+    while any(c.lower().startswith(base.lower()) for c in taken):
+        base = f"_{base}"
+    return base

@@ -95,6 +95,31 @@ def test_mix_with_given_weights_and_no_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_keeps_a_tiny_weight_over_ten_of_its_periods(spark):
+    weights = {"a": 0.6, "b": 0.3, "c": 0.0999, "d": 0.0001}
+    sizes = {"a": 66_000, "b": 33_000, "c": 11_000, "d": 11}
+    docs = spark.range(sum(sizes.values())).selectExpr("id as doc_id", "case when id < 66000 then 'a' when id < 99000 then 'b' when id < 110000 then 'c' else 'd' end as source")
+    got = sorted((r["slot"], r["source"]) for r in mixing.mix(docs, weights=weights, block_rows=1).collect())
+    assert [s for s, _ in got] == list(range(len(got)))
+    ratio = {s: x.as_integer_ratio() for s, x in weights.items()}
+    scale = max(q for _, q in ratio.values())
+    w = {s: p * (scale // q) for s, (p, q) in ratio.items()}
+    total, done = sum(w.values()), Counter()
+    for t, s in got[:100_001]:
+        done[s] += 1
+        assert all(abs(done[x] * total - (t + 1) * w[x]) < total for x in w), t
+    assert done["d"] >= 10
+
+
+def test_mix_keeps_clashing_columns_and_equal_ids_apart(spark):
+    rows = [(i % 20, f"text {i}", "ab"[i % 2], i) for i in range(120)] + [(None, None, None, 7)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, mix_ranges int").withColumns({c: F.lit(1) for c in ("mix_src_share", "mix_range_rank", "MIX_hash", "n", "block", "src", "slot")})
+    first, second = (sorted(map(repr, map(tuple, mixing.mix(df.repartition(n), block_rows=4).collect()))) for n in (1, 5))
+    got = mixing.mix(df, block_rows=4)
+    assert got.columns == [*df.columns, "_slot", "place", "in_mix"]
+    assert first == second and len(first) == len(rows)
+
+
 def _counts(text):
     words = WORD.findall(text or "")
     grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
