@@ -9,7 +9,8 @@ their first character and backslashes are doubled, so a formatted text holds non
 
 Defined results: a null role or text is empty; rows of one conversation are ordered by turn (null first),
 then role, then text, and repeated rows are turns of their own; a conversation of null id is one more
-conversation; extra columns are dropped.
+conversation; an empty table gives an empty one; extra columns are dropped. A conversation is one row and must fit
+one (2 GB, Spark's own limit); texts below that may be of any length.
 """
 
 from __future__ import annotations

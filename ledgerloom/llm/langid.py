@@ -9,8 +9,10 @@ Batches of documents are computed together in numpy; only the model goes to the
 languages times ``BUCKETS``, whatever the corpus.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; rows of null language are not
-learned from; with no labelled row every document is ``und``; repeated rows count each; extra columns of
-``predict`` are dropped.
+learned from; with no labelled row every document is ``und``; a text with a letter but without a trigram ("ab") has equal
+proportions: the first language by name, with score 1 / languages; a null id is in the learned part; repeated rows count
+each; a text of any length is counted whole; an empty table gives an empty one; extra columns of ``predict`` are
+dropped but for ``keep``, and an output column whose name is taken gets a leading underscore.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import free_name, small_batches
 from .wordhash import buffers, chunks
 
 #: Production parameters: trigram buckets, languages learned at most, cost of one more language in nats (times
@@ -39,7 +41,7 @@ _FOLD[97:123] = np.arange(97, 123)
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(key.cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
 def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -156,14 +158,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
     small_batches(spark)
     names, log_p = model
     sent = spark.sparkContext.broadcast(log_p)  # MOST_LANGUAGES x BUCKETS floats at most: 16 MB
-    n = 1 + len(keep)
+    n, made = 1 + len(keep), [free_name([key, *keep], c) for c in ("lang_pred", "score", "lang_set")]
+    piece = max(1 << 16, (8 << 20) // max(len(names), 4))  # arrays of trigrams by languages stay small
     read = [key, *keep] if text in keep else [key, *keep, text]
     spot = read.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in batches:
-            for a, b in chunks(batch.column(spot), 2 << 20):
+            for a, b in chunks(batch.column(spot), piece):
                 part = batch.slice(a, b - a)
                 texts = pc.fill_null(part.column(spot), "")
                 letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
@@ -173,11 +176,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
                 lang = [names[i] if ok else UNKNOWN for i, ok in zip(best, known, strict=True)]
                 score = np.clip(np.where(known, w.max(axis=1) if names else 0.0, 0.0), 0.0, 1.0)
                 sets = [[names[j] for j in np.argsort(-x) if x[j] > 1e-6] if ok else [] for x, ok in zip(w, known, strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(lang, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string()))], names=[*part.schema.names[:n], "lang_pred", "score", "lang_set"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(lang, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string()))], names=[*part.schema.names[:n], *made])
 
     kinds = dict(docs.dtypes)
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *keep))
-    return docs.select(*read).mapInArrow(run, f"{fields}, lang_pred string, score double, lang_set array<string>")
+    return docs.select(*read).mapInArrow(run, f"{fields}, {made[0]} string, {made[1]} double, {made[2]} array<string>")
 
 
 def crc_held_out(doc_id: int) -> bool:

@@ -6,8 +6,9 @@ the limit get an exact distinct count; lines that at least ``min_sites`` sites s
 go from every document, wherever they stand.
 
 Defined results: lines are separated by \\n and compared without surrounding white space; blank lines are
-never removed; a null text stays null and has no lines; a null site counts for no site; repeated rows are
-judged alike; extra columns stay as they are.
+never removed; a null text stays null and has no lines; a null site counts for no site; a null key is a key like
+others; repeated rows are judged alike; extra columns stay as they are, of whatever name; a text of any length is split in
+one row, and its lines travel as hashes; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialise
+from .shared import free_name, free_prefix, materialise
 
 #: Production parameters: sites that make a line boilerplate; sketch size (standard error 1.6 %); estimates
 #: within this share of the limit are counted exactly (over ten standard errors).
@@ -33,7 +34,8 @@ def _trimmed(text: Column) -> Column:
 
 
 def _row_key(key: str, text: str) -> Column:
-    return F.xxhash64(F.col(key), F.col(text))
+    """128 bits of hash."""
+    return F.struct(F.xxhash64(F.col(key), F.col(text)).alias("a"), F.xxhash64(F.col(text), F.col(key), F.lit(1)).alias("b"))
 
 
 def _keyed_lines(docs: DataFrame, key: str, text: str, site: str) -> DataFrame:
@@ -56,7 +58,7 @@ def remove_boilerplate(docs: DataFrame, key: str = "doc_id", text: str = "text",
     lines = _keyed_lines(docs, key, text, site)
     gone = lines.select("doc", "pos", "a", "b").join(boilerplate(lines, min_sites), ["a", "b"], "left_semi")
     marks = gone.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
-    doc, n_lines, n_removed = (free_name(docs.columns, c) for c in ("doc_key", "n_lines", "n_removed"))
+    doc, (n_lines, n_removed) = free_prefix(docs.columns, "doc_key"), (free_name(docs.columns, c) for c in ("n_lines", "n_removed"))
     marks = marks.select(F.col("doc").alias(doc), F.col("gone").alias(f"{doc}_gone"))
     joined = docs.withColumn(doc, _row_key(key, text)).join(marks, doc, "left")
     none = F.col(f"{doc}_gone").isNull() | F.col(text).isNull()

@@ -2,10 +2,12 @@
 and are written as NPY tiles with difference hashes.
 
 A binary column holds the media; rows are decoded in Arrow batches, an image at a time. Pixels are 8-bit
-samples (grey or RGB); sample values above 255 are not supported.
+samples (grey or RGB), scaled from the image's own maximum; a maximum above 255 is not supported.
 
-Defined results: null or undecodable media have null features (``features``) or no tiles (``tiles``), and are
-never guessed; an empty text is one padded block; repeated rows give equal values; extra columns are kept.
+Defined results: null or undecodable media (short rasters, samples above the maximum, broken numbers or palettes) have
+null features (``features``) or no tiles (``tiles``), and are never guessed; an empty text is one padded block; a text of any
+length is one image, of which a task holds some ten times the size; repeated rows give equal values; an empty table gives
+an empty one; extra columns are kept, and an output column whose name is taken gets a leading underscore.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .shared import free_name, small_batches
+from .wordhash import chunks
 
 #: A payload's block: an image row is 24 samples wide and a block 24 rows high. Thumbnail and tile edge.
 BLOCK_EDGE, THUMB, TILE = 24, 32, 16
@@ -48,10 +51,19 @@ def _header(data: bytes, count: int) -> tuple[list[int], int]:
             at += 1
         if start == at:
             raise MediaError("bad Netpbm header")
+        if at - start > 9:
+            raise MediaError("too large a number in a Netpbm header")
         out.append(int(data[start:at]))
     return out, at + 1
 
 
+def _scaled(samples: np.ndarray, most: int) -> np.ndarray:
+    """Samples of 0 to ``most`` as samples of 0 to 255."""
+    if samples.max(initial=0) > most:
+        raise MediaError("a sample above the maximum")
+    return samples.astype(np.uint8, copy=False) if most == 255 else ((samples.astype(np.uint32) * 510 + most) // (2 * most)).astype(np.uint8)
+
+
 def _netpbm(data: bytes) -> np.ndarray:
     kind = data[1:2]
     bitmap = kind in b"14"
@@ -70,7 +82,9 @@ def _netpbm(data: bytes) -> np.ndarray:
         values = data[at - 1 :].split()[:n]
         if len(values) < n:
             raise MediaError("short raster")
-        out = np.array([int(v) for v in values]).astype(np.uint8)
+        if not all(v.isdigit() and len(v) < 10 for v in values):
+            raise MediaError("a sample is no number")
+        out = _scaled(np.array([int(v) for v in values]), numbers[2])
     elif kind == b"4":
         stride = (width + 7) // 8
         if len(data) < at + stride * height:
@@ -80,7 +94,7 @@ def _netpbm(data: bytes) -> np.ndarray:
     elif kind in b"56":
         if len(data) < at + n:
             raise MediaError("short raster")
-        out = np.frombuffer(data, dtype=np.uint8, count=n, offset=at)
+        out = _scaled(np.frombuffer(data, dtype=np.uint8, count=n, offset=at), numbers[2])
     else:
         raise MediaError("not a Netpbm kind that is read here")
     return out.reshape(height, width, bands) if bands == 3 else out.reshape(height, width)
@@ -99,7 +113,10 @@ def _bmp(data: bytes) -> np.ndarray:
     raster = raster[::-1] if height > 0 else raster
     if depth == 8:
         used = struct.unpack_from("<I", data, 46)[0] or 256
-        palette = np.frombuffer(data, dtype=np.uint8, count=used * 4, offset=14 + struct.unpack_from("<I", data, 14)[0]).reshape(used, 4)[:, 2::-1]
+        start = 14 + struct.unpack_from("<I", data, 14)[0]
+        if used > 256 or len(data) < start + used * 4:
+            raise MediaError("short BMP palette")
+        palette = np.frombuffer(data, dtype=np.uint8, count=used * 4, offset=start).reshape(used, 4)[:, 2::-1]
         index = raster[:, :width]
         if index.max(initial=0) >= used:
             raise MediaError("colour outside the palette")
@@ -204,7 +221,7 @@ def text_to_media(df: DataFrame, text: str = "text", media: str = "media", form:
     n_bytes, media = free_name(df.columns, "n_bytes"), free_name(df.columns, media)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in chunks(whole.column(spot))):
             raw = [(x.as_py() or "").encode("utf-8") for x in batch.column(spot)]
             images = [encode(np.frombuffer(b + bytes([PADDING]) * (max(block, -(-len(b) // block) * block) - len(b)), dtype=np.uint8).reshape(-1, BLOCK_EDGE)) for b in raw]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(b) for b in raw], pa.int64()), pa.array(images, pa.binary())], names=[*batch.schema.names, n_bytes, media])
@@ -212,13 +229,13 @@ def text_to_media(df: DataFrame, text: str = "text", media: str = "media", form:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(n_bytes, T.LongType()), T.StructField(media, T.BinaryType())]))
 
 
-FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, npy_bytes bigint, npy_sha256 string"
+FEATURES = {"payload_bytes": T.LongType(), "payload_sha256": T.StringType(), "tail_crc32": T.LongType(), "media_bytes": T.LongType(), "media_sha256": T.StringType(), "feature": T.StringType(), "npy_bytes": T.LongType(), "npy_sha256": T.StringType()}
 
 
 def features(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
     """``keep`` and, of the decoded samples, their digests, the difference hashes of the image and its tiles, and the tiles' digest."""
     small_batches(df.sparkSession)
-    n = len(keep)
+    n, names = len(keep), [free_name(list(keep), c) for c in FEATURES]
 
     def of(data: bytes | None) -> tuple:
         try:
@@ -237,7 +254,7 @@ def features(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
         for batch in batches:
             rows = [of(x.as_py()) for x in batch.column(n)]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[*keep, *(f.split()[0] for f in FEATURES.split(", "))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[*keep, *names])
 
-    kept = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in keep)
-    return df.select(*keep, media).mapInArrow(run, f"{kept}, {FEATURES}")
+    rows = df.select(*keep, media)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:n], *(T.StructField(name, kind) for name, kind in zip(names, FEATURES.values(), strict=True))]))

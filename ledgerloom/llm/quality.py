@@ -7,7 +7,8 @@ exceeds a limit is rejected as a whole; its verdict is joined back to its docume
 Texts are read once: the counts are written to the shared folder, and hosts are aggregated from them.
 
 Defined results: a null text has no words and fails; a null host is the host ''; repeated rows count each;
-an empty table gives an empty one; extra columns are dropped.
+a text of any length is one row's array of words; an empty table gives an empty one; extra columns are dropped. A host may
+hold any share of the rows: its verdict goes to as many tasks as its documents are dealt to.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CLASS, materialise
+from .shared import SPACE_CLASS, join_groups, materialise
 
 #: Production parameters.
 WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT, MOST_HOST_FAILURES = 8, 20, 30, 0.5
@@ -90,7 +91,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     """All counts, base_failed, the host's shrunk rate and kept, one row per document."""
     counts = materialise(document_counts(docs, key, text, host), "quality")
     hosts = host_verdicts(counts, most).select("host", "shrunk_rate", "host_rejected")
-    judged = counts.join(hosts, "host", "left")
+    judged = join_groups(counts, hosts, ["host"], F.xxhash64("key", "n_words", "word_chars"))
     return judged.select(
         F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"), F.col("host").alias("host"), "shrunk_rate",

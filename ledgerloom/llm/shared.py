@@ -28,9 +28,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where the session names none (tests)."""
+    """The cluster's shared folder; a local one is set only where driver and executors are one process (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.gettempdir()}/ledgerloom-shared"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

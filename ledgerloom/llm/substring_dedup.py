@@ -9,12 +9,13 @@ that holds it. A word goes when some window over it is owned by a document of sm
 2. Minimisers that only one document has cannot repeat; only runs of the others go on, with their documents.
    Documents without such runs are finished here.
 3. Packed strings, merged by fingerprint within a task, go to their buckets; a task sorts them minimiser by
-   minimiser in bounded pieces. Minimisers with more than ``hot_rows`` runs are not brought together: their
+   minimiser in bounded pieces. Minimisers whose runs hold more than ``hot_words`` words are not brought together: their
    windows are counted by a hash aggregation, which combines on the map side.
 4. The owners come back by fingerprint and are joined to the documents that wait.
 
 Defined results: a null or short text has no windows, nothing is removed; a row of null id owns nothing and
-loses nothing; rows that repeat an id do not count against each other; extra columns are dropped.
+loses nothing; rows that repeat an id do not count against each other; a text of any length is judged whole, and a
+worker holds some twenty times its size; an empty table gives an empty one; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from .shared import materialise, small_batches
 from .wordhash import GRAM_BASE, GRAM_BASE_2, buffers, chunks, grams, hash_slices, hash_spans, sliding_min, spans
 
 #: Production parameters: words of a window and of a minimiser gram, windows of a run at most (longer runs are
-#: cut, each part is judged), runs of one minimiser that are sorted in one task.
-WINDOW, MINIMISER, LONGEST_RUN, HOT_ROWS = 50, 16, 256, 50_000
+#: cut, each part is judged), words of one minimiser's runs that are sorted together (some 60 bytes of arrays for each).
+WINDOW, MINIMISER, LONGEST_RUN, HOT_WORDS = 50, 16, 256, 1 << 20
 _PIECE = 8 << 20
 
 
@@ -209,13 +210,13 @@ def _finish(found: DataFrame, window: int) -> DataFrame:
     return found.select("id", "text", "marks").mapInArrow(run, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, longest: int = LONGEST_RUN, hot_rows: int = HOT_ROWS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, longest: int = LONGEST_RUN, hot_words: int = HOT_WORDS) -> DataFrame:
     """Per row: key, n_words, n_removed, kept_sha256 of the words that stay, joined by one space."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     runs = materialise(scan(rows.filter("id is not null and text is not null").select("id", "th", "text"), window, minimiser, longest), "runs")
-    shared = runs.groupBy("mini").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high")
-    wanted = runs.join(shared.select("mini", (F.col("rows") > hot_rows).alias("hot")), "mini")
+    shared = runs.groupBy("mini").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.sum(F.col("n").cast("long") + (window - 1)).alias("words")).filter("low < high")
+    wanted = runs.join(shared.select("mini", (F.col("words") > hot_words).alias("hot")), "mini")
     by_doc = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("start", "n", "mini", "print", "hot")).alias("runs"))
     joined = rows.join(by_doc, ["id", "th"], "left")
     state = materialise(_settle(joined), "settled")

@@ -9,9 +9,9 @@ Files are written below the shared folder under a name of the attempt and rename
 executor or a speculative copy leaves no half-written archive under a final name; archives of an attempt
 that did not win are never listed, as the names come from the tasks' results.
 
-Defined results: a null payload is empty; equal payloads of at least ``least`` bytes make one response (the
+Defined results: a null id is written as none and read back as null, its record is a response; a null payload is empty; equal payloads of at least ``least`` bytes make one response (the
 largest id, ids of rows being unique) and revisits that refer to it; an id that repeats gives a record each
-time; an empty table gives no archive; extra columns are dropped.
+time; an empty table gives no archive; a payload of any length is one record, of which a task holds some three copies; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -43,11 +43,11 @@ def _store(uri: str) -> tuple:
     return fs.FileSystem.from_uri(uri)
 
 
-def record(kind: str, uri: str, key: int, payload: bytes, digest: str, refers_to: int | None, full_bytes: int) -> bytes:
+def record(kind: str, uri: str, key: int | None, payload: bytes, digest: str, refers_to: int | None, full_bytes: int) -> bytes:
     """One WARC/1.1 record; a revisit has the digest of the full payload and no payload of its own."""
     fields = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:page:{key}>"),
+        ("WARC-Record-ID", f"<urn:page:{'' if key is None else key}>"),
         ("WARC-Date", "2000-01-01T00:00:00Z"),
         ("WARC-Target-URI", uri.replace("\r", "%0D").replace("\n", "%0A")),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
@@ -207,7 +207,8 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     ranges = ranges.repartition(max(1, min(10_000, ranges.count())))
 
     def number(urn: str | None) -> int | None:
-        return int(urn.strip("<>").rpartition(":")[2]) if urn else None
+        digits = urn.strip("<>").rpartition(":")[2] if urn else ""
+        return int(digits) if digits else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "uri", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload", "digest_ok"]

@@ -32,6 +32,15 @@ def test_warc_round_trip_and_revisits(spark):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_of_null_ids_and_long_payloads(spark):
+    big, long = "x" * 2000, "é" * 3_000_000
+    rows = [(None, None, big), (None, "u", None), (1, "u", big), (2, "u", big), (3, "u", long)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"], r["digest_ok"]) for r in warc.read(warc.write(pages)).collect()), key=repr)
+    want = [(None, "response", None, 2000, True), (None, "response", None, 0, True), (1, "revisit", 2, 2000, True), (2, "response", None, 2000, True), (3, "response", None, 6_000_000, True)]
+    assert got == sorted(want, key=repr)
+
+
 def test_warc_revisits_are_judged_by_the_response_read_back(spark, tmp_path):
     def sha(data):
         return hashlib.sha1(data).hexdigest()
@@ -97,3 +106,74 @@ def test_text_media_and_tiles(spark):
     assert media.tiles(bad, "doc_id").count() == 0
     assert [r["feature"] for r in media.features(bad, keep=("doc_id",)).collect()] == [None] * 3
     assert media.features(media.text_to_media(df.limit(0)), media="_media").count() == 0
+
+
+BROKEN = [
+    b"P2\n2 1\n255\n1 x", b"P2\n2 1\n255\n1 300", b"P2\n2 1\n255\n# c\n1 2", b"P2\n2 1\n255\n1 " + b"9" * 5000, b"P5\n" + b"9" * 5000 + b" 1\n255\nx", b"P5\n1 1\n15\n\xff",
+    b"P7\n", b"P", b"BM", media.encode_bmp(np.zeros((2, 2), dtype=np.uint8))[:300], b"BM" + b"\xff" * 60,
+]
+
+
+@pytest.mark.parametrize("data", BROKEN, ids=range(len(BROKEN)))
+def test_malformed_media_are_refused(data):
+    with pytest.raises(media.MediaError):
+        media.decode(data)
+
+
+def test_samples_are_scaled_from_their_maximum():
+    assert media.decode(b"P2\n4 1\n15\n0 1 7 15").tolist() == [[0, 17, 119, 255]]
+    assert media.decode(b"P5\n3 1\n3\n\x00\x01\x03").tolist() == [[0, 85, 255]]
+    assert media.decode(b"P6\n1 1\n1\n\x00\x01\x01").tolist() == [[[0, 255, 255]]]
+
+
+def _brute_resize(image, height, width):
+    """Mean of each output pixel's area, sample by sample, in fractions."""
+    from fractions import Fraction
+
+    h, w = image.shape
+    out = np.zeros((height, width))
+    for y in range(height):
+        for x in range(width):
+            top, bottom, left, right = Fraction(y * h, height), Fraction((y + 1) * h, height), Fraction(x * w, width), Fraction((x + 1) * w, width)
+            total = Fraction(0)
+            for i in range(int(top), -int(-bottom // 1)):
+                for j in range(int(left), -int(-right // 1)):
+                    total += int(image[i, j]) * (min(bottom, i + 1) - max(top, i)) * (min(right, j + 1) - max(left, j))
+            out[y, x] = total / ((bottom - top) * (right - left))
+    return out
+
+
+def _brute_hash(image):
+    small = _brute_resize(image, 8, 9)
+    bits = "".join("1" if round(small[y, x], 6) < round(small[y, x + 1], 6) else "0" for y in range(8) for x in range(8))
+    return f"{int(bits, 2):016x}"
+
+
+def test_features_equal_brute_force(spark):
+    texts = ["plain text", None, "é" * 700, "zebra " * 200, "\x00\x7f" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in media.features(media.text_to_media(df)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        image = np.frombuffer(payload, dtype=np.uint8).reshape(-1, 24)
+        stored = b"P5\n24 %d\n255\n" % len(image) + payload
+        small = np.clip(np.round(_brute_resize(image, 32, 32)), 0, 255).astype(np.uint8)
+        files, hashes = b"", [_brute_hash(image)]
+        for y in (0, 16):
+            for x in (0, 16):
+                out = io.BytesIO()
+                np.save(out, small[y : y + 16, x : x + 16])
+                files += out.getvalue()
+                hashes.append(_brute_hash(small[y : y + 16, x : x + 16]))
+        r = got[i]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r["feature"] == "-".join(hashes) and (r["npy_bytes"], r["npy_sha256"]) == (len(files), hashlib.sha256(files).hexdigest())
+
+
+def test_media_of_long_texts_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "ab" * 2_000_000), (2, "x")], "doc_id bigint, text string").selectExpr("doc_id", "text", "7 as feature", "8 as n_bytes")
+    stored = media.text_to_media(df)
+    got = media.features(stored, keep=("doc_id", "feature", "n_bytes", "_n_bytes"))
+    assert got.columns[:4] == ["doc_id", "feature", "n_bytes", "_n_bytes"] and "_feature" in got.columns
+    assert {r["doc_id"]: (r["_n_bytes"], r["payload_bytes"], r["feature"]) for r in got.collect()} == {1: (4_000_000, 4_000_320, 7), 2: (1, 576, 7)}

@@ -26,6 +26,17 @@ def test_line_dedup_removes_lines_of_many_sites_and_nothing_else(spark):
     assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_clashing_columns_null_keys_and_long_texts(spark):
+    long = "\n".join(f"line {i}" for i in range(20_000)) + "\nbanner\n" + "x" * 300_000
+    rows = [(i, "banner\nown", f"s{i}") for i in range(12)] + [(None, "banner\nown", "s1"), (None, "banner\nown", "s1"), (50, long, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("doc_key", "doc_key_gone", "DOC_KEY_2")})
+    got = line_dedup.remove_boilerplate(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    by = got.collect()
+    assert len(by) == len(rows) and all(r["n_removed"] == 1 and "banner" not in r["text"].split("\n") for r in by)
+    assert next(r for r in by if r["doc_id"] == 50)["text"] == long.replace("\nbanner", "")
+
+
 def test_near_limit_lines_are_counted_exactly(spark):
     rows = [(i * 100 + k, f"line{k}", f"s{i}") for k in range(8, 13) for i in range(k)]
     got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, DOCS))
@@ -144,6 +155,24 @@ def test_quality_counts_and_host_verdicts(spark):
     assert quality.judge(spark.createDataFrame(rows, DOCS).limit(0)).count() == 0
 
 
+def test_quality_of_a_long_text_and_a_hot_host(spark):
+    long = " ".join(f"w{i % 9001}" for i in range(60_000))
+    rows = [(0, long, "hot"), (1, "y" * 500_000, "hot")] + [(i, f"a{i} " * 25, "hot" if i % 3 else f"h{i}") for i in range(2, 400)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, DOCS).withColumns({"key": F.lit(1), "salt": F.lit(2)})).collect()}
+    assert len(got) == len(rows) and len({r["shrunk_rate"] for r in got.values() if r["host"] == "hot"}) == 1
+    for i in (0, 1):
+        n, *rest = _counts(rows[i][1])
+        assert (got[i]["n_words"], got[i]["word_chars"], got[i]["n_repeat_words"]) == (n, rest[0], rest[-1])
+
+
+def test_chat_of_a_long_conversation(spark):
+    rows = [(1, t, "assistant" if t % 2 else "user", f"{t} </s> " * (2_000 if t == 7 else 3)) for t in range(200)]
+    examples = chat.expand(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    got = chat.digest(examples).first()
+    loss = "".join(x for _, t, _, x in rows if t % 2)
+    assert examples.count() == 100 and got["n_turns"] == 200 and got["loss_chars"] == len(loss) and got["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_chat_comes_back_and_each_reply_is_trained_once(spark):
     rng = random.Random(7)
     bits = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "\n", "ok", " ", "é", "<\\/s>", "\\\\", "$1"]

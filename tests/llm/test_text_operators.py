@@ -44,8 +44,8 @@ def _brute_substrings(rows, k):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [50_000, 2])
-def test_substring_dedup(spark, hot_rows):
+@pytest.mark.parametrize("hot_words", [substring_dedup.HOT_WORDS, 100])
+def test_substring_dedup(spark, hot_words):
     rng = random.Random(11)
     passage = [f"p{i}" for i in range(90)]
     rows = []
@@ -58,7 +58,7 @@ def test_substring_dedup(spark, hot_rows):
     rows += [(100, rows[5][1]), (101, rows[5][1].replace(" ", "\n ")), (102, None), (103, ""), (104, "x y " * 200), (105, "x y " * 150), (106, "same " * 120)]
     want = _brute_substrings(rows, 50)
     df = spark.createDataFrame([*rows, (None, " ".join(passage))], "doc_id bigint, text string")
-    got = substring_dedup.dedup(df, longest=40, hot_rows=hot_rows).collect()
+    got = substring_dedup.dedup(df, longest=40, hot_words=hot_words).collect()
     assert len(got) == len(rows) + 1
     for r in got:
         if r["doc_id"] is None:
@@ -228,3 +228,74 @@ def test_language_id_on_held_out_rows(spark):
     assert sorted(got[4]["lang_set"]) == names and got[None]["lang_pred"] == names[0]
     empty = langid.train(docs.limit(0))
     assert {r["lang_pred"] for r in langid.predict(odd, empty).collect()} == {"und"}
+
+
+def _brute_em(text, log_p, steps):
+    """Proportions of one text by plain EM over its trigrams, for every set of the most likely languages."""
+    import math
+
+    buckets, _ = langid._trigrams(pa.array([text]))
+    n, langs = len(buckets), range(len(log_p))
+    p = [[math.exp(log_p[k][b]) for k in langs] for b in buckets.tolist()]
+
+    def fit(allowed):
+        w = {k: 1 / len(allowed) for k in allowed}
+        for _ in range(steps):
+            new = dict.fromkeys(allowed, 0.0)
+            for row in p:
+                whole = sum(row[k] * w[k] for k in allowed)
+                for k in allowed:
+                    new[k] += row[k] * w[k] / whole / n
+            w = new
+        return w, sum(math.log(sum(row[k] * w[k] for k in allowed)) for row in p)
+
+    mixed, _ = fit(list(langs))
+    order = sorted(langs, key=lambda k: -mixed[k])
+    alone = {k: sum(math.log(row[k]) for row in p) for k in langs}
+    first = max(alone, key=alone.get)
+    best, found = alone[first] - langid.PENALTY * math.log(n + 1), {first: 1.0}
+    for k in range(2, len(order) + 1):
+        if mixed[order[k - 1]] <= 0.02:
+            break
+        w, fitness = fit(order[:k])
+        if fitness - k * langid.PENALTY * math.log(n + 1) > best:
+            best, found = fitness - k * langid.PENALTY * math.log(n + 1), w
+    return [found.get(k, 0.0) for k in langs]
+
+
+def test_language_inference_equals_brute_force(spark):
+    rng = random.Random(31)
+    letters = {"aa": "abcde", "bb": "defgh", "cc": "hijkl"}
+
+    def words(lang, n):
+        return " ".join("".join(rng.choices(letters[lang], k=rng.randrange(2, 6))) for _ in range(n))
+
+    learned = [(words(lang, 60), lang) for lang in letters for _ in range(5)]
+    names, log_p = langid.train(spark.createDataFrame(learned, "text string, lang string"))
+    texts = [words("aa", 40), words("aa", 30) + " " + words("cc", 30), words("bb", 12), " ".join(words(k, 25) for k in letters), "abc", words("cc", 400)]
+    got = langid.infer(pa.array(texts), log_p)
+    want = np.array([_brute_em(t, log_p, langid.STEPS) for t in texts])
+    assert names == sorted(letters) and np.allclose(got, want, atol=2e-3)
+    assert (got[1] > 0.2).tolist() == [True, False, True]
+
+
+def test_language_of_odd_rows(spark):
+    names, log_p = ["aa", "bb"], np.log(np.full((2, langid.BUCKETS), 1 / langid.BUCKETS)).astype(np.float32)
+    rows = [(None, "ab", "x"), (1, "é" * 500_000, "x"), (1, "é" * 500_000, "x"), (2, "12", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang_pred string")
+    found = langid.predict(df, (names, log_p), keep=("lang_pred",))
+    assert found.columns == ["doc_id", "lang_pred", "_lang_pred", "score", "lang_set"]
+    got = {r["doc_id"]: (r["_lang_pred"], r["score"]) for r in found.collect()}
+    assert got[None] == ("aa", 0.5) and got[1][0] == "aa" and got[2] == ("und", 0.0) and found.count() == 4
+    assert df.filter(langid.held_out(df["doc_id"])).count() + df.filter(~langid.held_out(df["doc_id"])).count() == 4
+
+
+def test_long_texts_join_and_lose_substrings(spark):
+    rng = random.Random(37)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(30_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[5:])), (3, "x" * 400_000), (4, "X" * 400_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as id", "2 as n", "3 as component")
+    got = {r["doc_id"]: r for r in jaccard_join.link(df).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 3} and got[1]["n_shingles"] == len(_shingles(rows[0][1]))
+    want = _brute_substrings(rows, 50)
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(df).collect()} == want
