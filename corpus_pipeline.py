@@ -1,8 +1,9 @@
 """A corpus pipeline of five operators: each stage's rows are written as Parquet and reread by the next.
 
-Stages take (spark, docs, sf_dir); all but the last return the columns of ``docs``, and the mix adds ``MIX``. A row of null text has no
-letter and is rejected by the first stage; a null doc_id keeps its row until then; an empty table passes
-through. Every decision is made on all rows that the stage before kept.
+Stages take (spark, docs, sf_dir); all but the last return the columns of ``docs``, and the mix adds ``MIX``. ``docs`` has doc_id, text,
+lang and source; n_chars is kept true if it is there, further columns of any name stay until the last stage. A row of null or empty text has no
+letter and is rejected by the first stage; a null doc_id keeps its row; of rows that repeat an id one stays, the first by a
+hash of all columns; an empty table passes through. Every decision is made on all rows that the stage before kept.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import bpe, jaccard_join, langid, line_dedup, mixing
 from ledgerloom.llm.queries import vocabulary_path
-from ledgerloom.llm.shared import materialise, read_table
+from ledgerloom.llm.shared import free_name, materialise, read_table
 
 #: A document is rejected when no language explains this share of it (four languages: above a quarter).
 LEAST_SCORE = 0.3
@@ -35,7 +36,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove lines that many sources share; documents stay, their texts get shorter."""
     cleaned = line_dedup.remove_boilerplate(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
+    return cleaned.select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +46,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.link(docs)
     stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
     known = docs.join(stay, "doc_id", "left_semi")
-    once = Window.partitionBy("doc_id").orderBy("doc_id")
-    single = known.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*docs.columns)
+    once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    nth = free_name(docs.columns, "nth")
+    single = known.withColumn(nth, F.row_number().over(once)).filter(F.col(nth) == 1).select(*docs.columns)
     return single.unionByName(docs.filter("doc_id is null"))
 
 
