@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import finished, materialise
+
+#: Edges of a task that writes them (about).
+EDGES = 250_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -17,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,4 +37,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark == seen or mark[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         seen = mark
-        edges = materialise(_star(_star(edges, True), False), "edges")
+        last, edges = edges, materialise(_star(_star(edges, True), False).distinct().coalesce(max(1, mark[0] // EDGES)), "edges")
+        finished(last)

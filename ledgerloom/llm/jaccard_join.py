@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -38,8 +38,8 @@ from .wordhash import LOWER_VALUES, buffers, chunks, grams, hash_slices, hash_sp
 
 #: Production parameters: words of a shingle, similarity in per cent, shingles of a bucket (about), bytes of text in a
 #: chunk (about), members that one task verifies against a leader at most (about), rounds of leaders at most.
-WORDS, PERCENT, BUCKET_ROWS, CHUNK, GROUP_ROWS, ROUNDS = 5, 75, 1_000_000, 4 << 20, 2048, 8
-#: Prefix shingles that a posting knows before its own (a pair that these miss is made twice and merged).
+WORDS, PERCENT, BUCKET_ROWS, CHUNK, GROUP_ROWS, ROUNDS = 5, 75, 1_000_000, 4 << 20, 2048, 3
+#: Postings of its document that a posting knows before it (a pair that these miss is made twice and merged).
 BACK = 32
 #: Documents of a chunk, so that 16 bits name one.
 _CHUNK_DOCS = 60_000
@@ -100,6 +100,22 @@ def _packed(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
 
 
+def _steps(keys: np.ndarray) -> bytes:
+    """Ascending keys: the first one, and the steps to the next ones in as few bytes as the largest step needs."""
+    step = np.diff(keys)
+    width = (int(step.max(initial=0)).bit_length() + 7) // 8
+    return keys[:1].tobytes() + step.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unsteps(raw: bytes, n: int) -> np.ndarray:
+    """The n keys of ``_steps``."""
+    step = np.zeros((n, 8), dtype=np.uint8)
+    step[0] = np.frombuffer(raw, dtype=np.uint8, count=8)
+    if n > 1:
+        step[1:, : (len(raw) - 8) // (n - 1)] = np.frombuffer(raw, dtype=np.uint8, offset=8).reshape(n - 1, -1)
+    return np.cumsum(step.reshape(-1).view(np.uint64), dtype=np.uint64)
+
+
 def _edges(x: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the end."""
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.zeros(1, dtype=np.int64)
@@ -134,9 +150,9 @@ def scan(docs: DataFrame, buckets: int, words: int = WORDS) -> DataFrame:
             cut, chunk = _edges(bucket), first + seq
             made = len(cut) - 1
             where = np.concatenate((bucket[cut[:-1]].astype(np.int64), [chunk * 0x9E3779B1 % buckets]))
-            none = pa.nulls(1, pa.binary())
+            keys = [_steps(flat[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(where), pa.array(np.full(made + 1, chunk)), pa.concat_arrays([_packed(flat, cut), none]), pa.concat_arrays([_packed(who, cut), none]), pa.array([None] * made + [about.tobytes()], pa.binary())],
+                [pa.array(where), pa.array(np.full(made + 1, chunk)), pa.array([*keys, None], pa.binary()), pa.concat_arrays([_packed(who, cut), pa.nulls(1, pa.binary())]), pa.array([None] * made + [about.tobytes()], pa.binary())],
                 names=["bucket", "chunk", "keys", "who", "about"],
             )
 
@@ -163,13 +179,14 @@ def frequencies(packed: DataFrame) -> DataFrame:
     names = ["chunk", "keys", "who", "freq", "about"]
 
     def count(rows: list[tuple]) -> pa.RecordBatch:
-        key, who = (np.concatenate([np.frombuffer(r[i], dtype=k) for r in rows]) for i, k in ((1, np.uint64), (2, np.uint16)))
+        who = np.concatenate([np.frombuffer(r[2], dtype=np.uint16) for r in rows])
+        key = np.concatenate([_unsteps(r[1], len(r[2]) // 2) for r in rows])
         order = np.argsort(key, kind="stable")
         cut = _edges(key[order])
         freq = np.empty(len(key), dtype=np.uint32)
         freq[order] = np.repeat(np.diff(cut), np.diff(cut))
         keep = freq > 1
-        row = np.repeat(np.arange(len(rows)), [len(r[1]) // 8 for r in rows])
+        row = np.repeat(np.arange(len(rows)), [len(r[2]) // 2 for r in rows])
         at = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(rows)))))
         out = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(_packed(x[keep], at) for x in (key, who, freq)), pa.nulls(len(rows), pa.binary())], names=names)
         return out.filter(pa.array(np.diff(at) > 0))
@@ -238,14 +255,11 @@ def sets(counted: DataFrame, percent: int = PERCENT) -> DataFrame:
     return counted.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, _SETS)
 
 
-_POSTING = ["token", "id", "n", "pos", "back"]
+_POSTING = ["token", "id", "n", "pos"]
 
 
 def postings(prefixes: DataFrame) -> DataFrame:
-    """Rows (token, id, n, pos, back) of ``prefixes`` (id, n, shared, prefix): pos counts the shingles of one document alone, which come first.
-
-    ``back`` has the ``BACK`` prefix shingles before: where two documents share one of these, their pair is made there.
-    """
+    """Rows (token, id, n, pos) of ``prefixes`` (id, n, shared, prefix): pos counts the shingles of one document alone, which come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,13 +267,9 @@ def postings(prefixes: DataFrame) -> DataFrame:
             raw, at = buffers(batch.column(3))
             token, size = np.frombuffer(raw.tobytes(), dtype=np.int64), np.diff(at) // 8
             pos = np.arange(len(token)) - np.repeat(at[:-1] // 8, size) + np.repeat(n - shared, size)
-            most = np.minimum(np.arange(len(token)) - np.repeat(at[:-1] // 8, size), BACK)
-            back_at = np.concatenate(([0], np.cumsum(most)))
-            back = token[np.arange(back_at[-1]) - np.repeat(back_at[1:] - np.arange(len(token)), most)]
-            back = pa.ListArray.from_arrays(pa.array(back_at.astype(np.int32)), pa.array(back))
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(ids, size)), pa.array(np.repeat(n, size)), pa.array(pos.astype(np.int32)), back], names=_POSTING)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(ids, size)), pa.array(np.repeat(n, size)), pa.array(pos.astype(np.int32))], names=_POSTING)
 
-    return prefixes.select("id", "n", "shared", "prefix").mapInArrow(run, "token bigint, id bigint, n int, pos int, back array<bigint>")
+    return prefixes.select("id", "n", "shared", "prefix").mapInArrow(run, "token bigint, id bigint, n int, pos int")
 
 
 def verify(pairs: DataFrame, lists: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -297,10 +307,16 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return length & (F.least(F.expr(f"n{x} - pos{x}"), F.expr(f"n{y} - pos{y}")) >= need)
 
 
+def several(postings: DataFrame) -> DataFrame:
+    """Lists of two documents or more: each document is a component, the greatest id is the list's base."""
+    facts = postings.groupBy("token").agg(F.max("id").alias("base"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    return postings.withColumn("component", F.col("id")).join(facts, "token")
+
+
 def mixed_lists(lists: DataFrame) -> DataFrame:
-    """Of ``lists`` (token, id, n, pos, component), those of several components, with the list's size and its largest component (base, most)."""
+    """Of ``lists`` (token, id, n, pos, component), those of several components, with the list's size (rows) and its largest component (base)."""
     by_comp = lists.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows"))
-    facts = by_comp.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("base"), F.max("rows").alias("most"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("comps"))
+    facts = by_comp.groupBy("token").agg(F.max_by("component", F.struct("rows", "component")).alias("base"), F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("comps"))
     return lists.select(*_POSTING, "component").join(facts.filter("comps > 1").drop("comps"), "token")
 
 
@@ -308,8 +324,11 @@ def candidates(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b), a > b, of documents of different components that share a prefix shingle and pass the filters.
 
     ``lists`` is of ``mixed_lists``. In each list the largest component is not joined with itself: only documents
-    outside it look for partners in the list.
+    outside it look for partners in the list. A posting knows the ``BACK`` ones before it: where two documents share one of
+    these, their pair is made there.
     """
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(-BACK, -1)
+    lists = lists.withColumn("back", F.collect_list("token").over(before))
     x = lists.filter("component <> base").select("token", "base", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "back", "component")))
     y = lists.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "back", "component")))
     once = (F.col("component_y") == F.col("base")) | (F.col("id_x") > F.col("id_y"))
@@ -319,11 +338,22 @@ def candidates(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def leader_pairs(lists: DataFrame, nth: int, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of each document outside the largest component of a list and a member of it: one that the round's hash picks."""
+    """Pairs (a, b) of documents a outside the largest component of a list and a member b of it that the round's hash picks; with their components, and in how many lists they met."""
     speaker = lists.filter("component = base").groupBy("token").agg(F.min_by(F.struct("id", "n", "pos"), F.struct(F.xxhash64("id", F.lit(nth)), "id")).alias("s"))
-    speaker = speaker.select("token", F.col("s.id").alias("lead"), F.col("s.n").alias("n_l"), F.col("s.pos").alias("pos_l"))
+    speaker = speaker.select("token", F.col("s.id").alias("b"), F.col("s.n").alias("n_l"), F.col("s.pos").alias("pos_l"))
     met = lists.filter("component <> base").join(speaker, "token").filter(may_link("", "_l", percent))
-    return met.groupBy("id", "lead").agg(F.count(F.lit(1)).alias("shared")).select("id", "shared", F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b"))
+    return met.groupBy(F.col("id").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared"), F.first("component").alias("of_a"), F.first("base").alias("of_b"))
+
+
+def relabelled(lists: DataFrame, hits: DataFrame) -> DataFrame:
+    """``lists`` with components merged along links (of_a, of_b) of components: each takes the least name at two steps or fewer.
+
+    So documents of one component are connected; not all that are connected are of one component yet.
+    """
+    steps = hits.select("of_a", "of_b").unionByName(hits.select(F.col("of_b").alias("of_a"), F.col("of_a").alias("of_b"))).distinct()
+    first = steps.groupBy("of_a").agg(F.least("of_a", F.min("of_b")).alias("to"))
+    second = steps.join(first.select(F.col("of_a").alias("of_b"), F.col("to").alias("then")), "of_b").groupBy(F.col("of_a").alias("component")).agg(F.least("of_a", F.min("of_b"), F.min("then")).alias("to"))
+    return lists.select(*_POSTING, "component").join(second, "component", "left").select(*_POSTING, F.coalesce("to", "component").alias("component"))
 
 
 def _prepared(docs: DataFrame, key: str, text: str, words: int, percent: int, bucket_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -336,13 +366,10 @@ def _prepared(docs: DataFrame, key: str, text: str, words: int, percent: int, bu
     members = join_groups(narrow, classes, ["s1", "s2", "n"], F.col("id")).select("id", "n", "class_id")
     members = materialise(members.withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))), "classes")
     reps = members.filter("id = class_id").select("id").distinct()
-    lists = found.filter("list is not null and id is not null").select("id", "n", "prefix", "list")
-    prefixes = lists.select("id", "n", F.expr("octet_length(list) div 8").cast("int").alias("shared"), "prefix").join(reps, "id", "left_semi").dropDuplicates(["id"])
-    spread = materialise(postings(prefixes), "postings")
-    several = spread.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token")
-    shared = materialise(spread.join(several, "token"), "shared-postings")
-    finished(spread)
-    return members, shared, lists.select("id", "n", "list").dropDuplicates(["id"])
+    lists = found.filter("list is not null and id is not null").select("id", "n", "prefix", "list").join(reps, "id", "left_semi").dropDuplicates(["id"])
+    lists = materialise(lists.withColumn("shared", F.expr("octet_length(list) div 8").cast("int")), "lists")
+    finished(found)
+    return members, materialise(several(postings(lists)), "postings"), lists.select("id", "n", "list")
 
 
 def all_links(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -350,40 +377,31 @@ def all_links(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
 
     Every candidate pair is verified, whether or not other links connect it already.
     """
-    _, shared, lists = _prepared(docs, key, text, words, percent, bucket_rows)
-    pairs = materialise(candidates(mixed_lists(shared.withColumn("component", F.col("id"))), percent), "pairs")  # each on its own: no pair is skipped
+    _, open_lists, lists = _prepared(docs, key, text, words, percent, bucket_rows)
+    pairs = materialise(candidates(open_lists, percent), "pairs")  # each on its own: no pair is skipped
     return verify(pairs, lists, percent)
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bucket_rows: int = BUCKET_ROWS, rounds: int = ROUNDS) -> DataFrame:
     """Per row: key, n_shingles, class_id (least id of the equal sets) and component_id (least id reachable by links)."""
-    members, shared, lists = _prepared(docs, key, text, words, percent, bucket_rows)
-    open_lists, tried, comps = materialise(mixed_lists(shared.withColumn("component", F.col("id"))), "lists"), None, None
-    finished(shared)
-
-    def settle(pairs: DataFrame) -> None:
-        nonlocal tried, comps
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        hits = materialise(verify(pairs, lists, percent), "links")
-        if comps is not None:  # a component so far is a star around its least id
-            hits = hits.unionByName(comps.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-        comps = materialise(components(hits), "components")
-
-    before = 0
+    members, open_lists, lists = _prepared(docs, key, text, words, percent, bucket_rows)
+    tried, links = None, None
     for nth in range(rounds):
-        # what the join below may have to look at, if the round before lessened it much
+        # what the join below may have to look at; it costs less than a round when in proportion to the lists
         left, rows = open_lists.agg(F.coalesce(F.sum(F.expr("if(component <> base, rows, 0)")), F.lit(0)), F.count(F.lit(1))).first()
-        if nth and (left <= rows or left > before * 3 // 4):
+        if nth and left <= 4 * rows:
             break
-        before = left
         met = leader_pairs(open_lists, nth, percent)
         fresh = met if tried is None else met.join(tried, ["a", "b"], "left_anti")
-        best = fresh.groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct("shared", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        settle(materialise(best, "leader-pairs"))
-        labelled = open_lists.select(*_POSTING).join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        last, open_lists = open_lists, materialise(mixed_lists(labelled), "lists")
+        best = fresh.groupBy("a").agg(F.max_by(F.struct("b", "of_a", "of_b"), F.struct("shared", "b")).alias("p"))
+        pairs = materialise(best.select("a", "p.*"), "leader-pairs")
+        hits = materialise(verify(pairs, lists, percent).join(pairs, ["a", "b"]), "links")
+        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried, links = (both, hits) if tried is None else (tried.unionByName(both), links.unionByName(hits))
+        last, open_lists = open_lists, materialise(mixed_lists(relabelled(open_lists, hits)), "postings")
         finished(last)
     # what still differs
-    settle(materialise(candidates(open_lists, percent).join(tried, ["a", "b"], "left_anti"), "pairs"))
+    pairs = materialise(candidates(open_lists, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    comps = materialise(components(links.select("a", "b").unionByName(verify(pairs, lists, percent))), "components")
     named = members.join(comps.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
