@@ -10,8 +10,9 @@
    share most prefix shingles, so pairs are not made within a shingle's list at once: in each round the documents
    outside the list's largest component are verified against one member of it, and links merge components. Once
    what is left is in proportion to the lists, documents of different components that still share a
-   prefix shingle and pass the length and positional filters are paired; the suffix filter precedes each exact
-   verification. Each pair is verified once.
+   prefix shingle and pass the length, positional and suffix filters are paired. Each pair is verified once.
+   The suffix filter bounds the number of shingles that only one of two sets has: at first by parity bitmaps that
+   postings carry, before any set moves, then by sizes on either side of split values, before each exact comparison.
 
 Everything that grows with the data is a table: no broadcast, no sketch, no bound on a list.
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -209,11 +211,12 @@ def frequencies(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk bigint, keys binary, who binary, freq binary, about binary")
 
 
-_SETS = "id bigint, n int, s1 bigint, s2 bigint, prefix binary, list binary"
+_BITS = ["w0", "w1", "w2", "w3"]
+_SETS = "id bigint, n int, s1 bigint, s2 bigint, prefix binary, list binary, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
 
 
 def sets(counted: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Per document: id, n, signature; if its prefix reaches shared shingles, these in order and all shared ones, ascending."""
+    """Per document: id, n, signature; if its prefix reaches shared shingles, these in order, all shared ones, ascending, and how often each of 256 classes of them occurs, modulo 2."""
 
     def judge(parts: list[tuple], about: bytes) -> pa.RecordBatch:
         ids, valid, n, s1, s2 = np.frombuffer(about, dtype=np.int64).reshape(5, -1)
@@ -232,10 +235,10 @@ def sets(counted: DataFrame, percent: int = PERCENT) -> DataFrame:
         prefix_at = np.concatenate(([0], np.cumsum(short)))
         prefix = key[order][np.repeat(at[:-1] - prefix_at[:-1], short) + np.arange(prefix_at[-1])]
         none = pa.scalar(None, pa.binary())
-        import pyarrow.compute as pc
-
+        odd = (np.bincount(who.astype(np.int64) * 256 + (key >> _U(56)).astype(np.int64), minlength=len(ids) * 256) & 1).astype(np.uint8)
+        bits = np.packbits(odd.reshape(-1, 256), axis=1).view(np.int64)
         cells = [pc.if_else(pa.array(reaches), _packed(x, cut), none) for x, cut in ((prefix, prefix_at), (lists, at))]
-        return pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), *cells], names=["id", "n", "s1", "s2", "prefix", "list"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, mask=valid == 0), pa.array(n.astype(np.int32)), pa.array(s1), pa.array(s2), *cells, *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4))], names=["id", "n", "s1", "s2", "prefix", "list", *_BITS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, about, now = [], None, None
@@ -276,6 +279,7 @@ def verify(pairs: DataFrame, lists: DataFrame, percent: int = PERCENT) -> DataFr
     """Of ``pairs`` (a, b), those whose sets (id, n, list) are similar. Members of one leader b are dealt to several tasks."""
     sized = pairs.groupBy("b").agg(F.expr(f"(count(1) + {GROUP_ROWS - 1}) div {GROUP_ROWS}").alias("parts"))
     dealt = pairs.join(sized, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    lists = lists.select("id", "n", "list")
     members = dealt.join(lists.withColumnRenamed("id", "a"), "a").select("b", "part", "a", "n", "list")
     leads = sized.select("b", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"), F.lit(None).cast("bigint").alias("a")).join(lists.withColumnRenamed("id", "b"), "b")
     both = members.unionByName(leads.select("b", "part", "a", "n", "list")).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
@@ -320,20 +324,23 @@ def mixed_lists(lists: DataFrame) -> DataFrame:
     return lists.select(*_POSTING, "component").join(facts.filter("comps > 1").drop("comps"), "token")
 
 
-def candidates(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
+def candidates(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b), a > b, of documents of different components that share a prefix shingle and pass the filters.
 
-    ``lists`` is of ``mixed_lists``. In each list the largest component is not joined with itself: only documents
+    ``lists`` is of ``mixed_lists``, ``sets`` has id, shared and the bitmaps. In each list the largest component is not joined with itself: only documents
     outside it look for partners in the list. A posting knows the ``BACK`` ones before it: where two documents share one of
     these, their pair is made there.
     """
     before = Window.partitionBy("id").orderBy("pos").rowsBetween(-BACK, -1)
-    lists = lists.withColumn("back", F.collect_list("token").over(before))
-    x = lists.filter("component <> base").select("token", "base", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "pos", "back", "component")))
-    y = lists.select("token", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "pos", "back", "component")))
+    lists = lists.withColumn("back", F.collect_list("token").over(before)).join(sets.select("id", "shared", *_BITS), "id")
+    carried = ("id", "n", "pos", "back", "component", "shared", *_BITS)
+    x = lists.filter("component <> base").select("token", "base", *(F.col(c).alias(f"{c}_x") for c in carried))
+    y = lists.select("token", *(F.col(c).alias(f"{c}_y") for c in carried))
     once = (F.col("component_y") == F.col("base")) | (F.col("id_x") > F.col("id_y"))
     first = ~F.arrays_overlap("back_x", "back_y")
-    joined = x.join(y, (x["token"] == y["token"]) & (F.col("component_x") != F.col("component_y")) & may_link("_x", "_y", percent) & once & first)
+    apart = " + ".join(f"bit_count({w}_x ^ {w}_y)" for w in _BITS)
+    near = F.expr(f"(shared_x + shared_y - ({apart})) div 2 >= (cast({percent} as bigint) * (n_x + n_y) + {99 + percent}) div {100 + percent}")
+    joined = x.join(y, (x["token"] == y["token"]) & (F.col("component_x") != F.col("component_y")) & may_link("_x", "_y", percent) & once & near & first)
     return joined.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
 
 
@@ -366,10 +373,10 @@ def _prepared(docs: DataFrame, key: str, text: str, words: int, percent: int, bu
     members = join_groups(narrow, classes, ["s1", "s2", "n"], F.col("id")).select("id", "n", "class_id")
     members = materialise(members.withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id"))), "classes")
     reps = members.filter("id = class_id").select("id").distinct()
-    lists = found.filter("list is not null and id is not null").select("id", "n", "prefix", "list").join(reps, "id", "left_semi").dropDuplicates(["id"])
+    lists = found.filter("list is not null and id is not null").select("id", "n", "prefix", "list", *_BITS).join(reps, "id", "left_semi").dropDuplicates(["id"])
     lists = materialise(lists.withColumn("shared", F.expr("octet_length(list) div 8").cast("int")), "lists")
     finished(found)
-    return members, materialise(several(postings(lists)), "postings"), lists.select("id", "n", "list")
+    return members, materialise(several(postings(lists)), "postings"), lists
 
 
 def all_links(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -378,7 +385,7 @@ def all_links(docs: DataFrame, key: str = "doc_id", text: str = "text", words: i
     Every candidate pair is verified, whether or not other links connect it already.
     """
     _, open_lists, lists = _prepared(docs, key, text, words, percent, bucket_rows)
-    pairs = materialise(candidates(open_lists, percent), "pairs")  # each on its own: no pair is skipped
+    pairs = materialise(candidates(open_lists, lists, percent), "pairs")  # each on its own: no pair is skipped
     return verify(pairs, lists, percent)
 
 
@@ -401,7 +408,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         last, open_lists = open_lists, materialise(mixed_lists(relabelled(open_lists, hits)), "postings")
         finished(last)
     # what still differs
-    pairs = materialise(candidates(open_lists, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = materialise(candidates(open_lists, lists, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
     comps = materialise(components(links.select("a", "b").unionByName(verify(pairs, lists, percent))), "components")
     named = members.join(comps.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
