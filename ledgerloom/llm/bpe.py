@@ -54,7 +54,7 @@ WITH RECURSIVE step(w, it, pos, tok, npos, ntok) AS (
   WHERE s.pos <> c.gone
 )
 SELECT w, pos, tok FROM step JOIN (SELECT w AS last_w, max(it) AS last FROM step GROUP BY w) ON w = last_w AND it = last
-ORDER BY w, pos
+ORDER BY pos
 """
 _WORDS = "SELECT word, list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocabulary USING (id) GROUP BY word ORDER BY word"
 _TEXTS = "SELECT doc, list(word_bytes ORDER BY pos) AS parts FROM placed JOIN spelt USING (word) GROUP BY doc ORDER BY doc"
@@ -211,33 +211,36 @@ class Codec:
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after another, and where each word's begin."""
-        made: list[np.ndarray | None] = [None] * len(words)
-        short = []
-        for i, word in enumerate(words):
-            whole = self.ranks.get(word)
-            if whole is not None:
-                made[i] = np.array([whole], dtype=np.int32)
-            elif len(word) <= LONG_WORD:
-                short.append(i)
-            else:
-                made[i] = self._long(word)
-        for i, ids in zip(short, self._contract([words[i] for i in short]), strict=True):
-            made[i] = ids
-        at = np.concatenate(([0], np.cumsum([len(x) for x in made]))).astype(np.int64)
-        return np.concatenate(made) if made else np.zeros(0, dtype=np.int32), at
-
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word, by recursive queries over bounded numbers of rows."""
-        out: list[np.ndarray] = []
+        whole = np.array([self.ranks.get(w, -1) for w in words], dtype=np.int64)
+        lens = np.array([len(w) for w in words], dtype=np.int64)
+        counts, parts = np.ones(len(words), dtype=np.int64), []
+        short, long = np.flatnonzero((whole < 0) & (lens <= LONG_WORD)), np.flatnonzero((whole < 0) & (lens > LONG_WORD))
+        flat, counts[short] = self._contract([words[i] for i in short])
+        parts = [self._long(words[i]) for i in long]
+        counts[long] = [len(x) for x in parts]
+        at = np.concatenate(([0], np.cumsum(counts)))
+        ids = np.empty(at[-1], dtype=np.int32)
+        single = np.flatnonzero(whole >= 0)
+        ids[at[single]] = whole[single]
+        of_short = np.zeros(len(words), dtype=bool)
+        of_short[short] = True
+        ids[np.repeat(of_short, counts)] = flat
+        for i, part in zip(long.tolist(), parts, strict=True):
+            ids[at[i] : at[i + 1]] = part
+        return ids, at
+
+    def _contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after another and their numbers, by recursive queries over bounded numbers of rows."""
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))]
         first, rows = 0, 0
         for i, word in enumerate(words):
             rows += len(word) * (len(word) + 8) // 4
             if rows >= QUERY_ROWS or i == len(words) - 1:
-                out += self._rounds(words[first : i + 1])
+                done.append(self._rounds(words[first : i + 1]))
                 first, rows = i + 1, 0
-        return out
+        return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
 
-    def _rounds(self, words: list[bytes]) -> list[np.ndarray]:
+    def _rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         raw = np.frombuffer(b"".join(words), dtype=np.uint8)
         w, pos, tok = np.repeat(np.arange(len(words)), [len(x) for x in words]), np.arange(len(raw)), self.of_byte[raw]
         if (tok < 0).any():
@@ -246,8 +249,7 @@ class Codec:
         npos, ntok = np.where(inside, pos + 1, -1), np.where(inside, np.concatenate((tok[1:], [0])), -1)
         letters = pa.table({k: v.astype(np.int32) for k, v in (("w", w), ("pos", pos), ("tok", tok), ("npos", npos), ("ntok", ntok))})
         got = self._query(_CONTRACT, letters=letters)
-        counts = np.bincount(got["w"].to_numpy(), minlength=len(words))
-        return np.split(got["tok"].to_numpy(), np.cumsum(counts)[:-1])
+        return got["tok"].to_numpy(), np.bincount(got["w"].to_numpy(), minlength=len(words))
 
     def _long(self, word: bytes) -> np.ndarray:
         """The ids of a long word, by overlapping pieces."""
@@ -256,7 +258,8 @@ class Codec:
         while True:
             todo = [r for r in ranges if r not in done]
             rounds = [r for r in todo if r[1] - r[0] <= LONGEST_PIECE]
-            for (a, b), ids in (*zip(rounds, self._contract([word[a:b] for a, b in rounds]), strict=True), *((r, self._heap(word[r[0] : r[1]])) for r in todo if r[1] - r[0] > LONGEST_PIECE)):
+            flat, counts = self._contract([word[a:b] for a, b in rounds])
+            for (a, b), ids in (*zip(rounds, np.split(flat, np.cumsum(counts)[:-1]), strict=False), *((r, self._heap(word[r[0] : r[1]])) for r in todo if r[1] - r[0] > LONGEST_PIECE)):
                 done[a, b] = ids, a + np.concatenate(([0], np.cumsum(self.lengths[ids])))
             merged, taken, fits = [ranges[0]], [0], True
             for r in ranges[1:]:
