@@ -15,6 +15,10 @@ DECIMAL = "decimal(28,8)"
 CURRENCY_SYMBOLS = [("US$", "USD"), ("CHF", "CHF"), ("$", "USD"), ("€", "EUR"), ("£", "GBP"), ("¥", "JPY")]
 _BODY = r"^(\d{1,3}(,\d{3})*(\.\d+)?|\d+(\.\d+)?)$"
 _MARKER = r"(?<=[\p{Nd})])\s*[A-Za-z]{1,2}$"
+_DIGITS = r"(?:\d{1,3}(?:,\d{3}){0,5}|\d{1,18})(?:\.\d{1,8})?"
+#: Amounts as nearly all statements print them, in dollars or without a currency: these are read by expressions that
+#: compile; only other forms need the steps below, which are interpreted.
+_USUAL = rf"(?:-?\$?{_DIGITS}|\$-{_DIGITS}|\$?\({_DIGITS}\)|\(\${_DIGITS}\))"
 
 
 def strip_currency(text: Column) -> Column:
@@ -42,8 +46,24 @@ def _result(ok: Column, value: Column, currency: Column, err: Column) -> Column:
     return F.struct(ok.alias("ok"), value.cast(DECIMAL).alias("value"), currency.alias("currency"), err.alias("err"))
 
 
+def _usual(text: Column) -> Column:
+    """The amount in a stripped text of a usual form."""
+    number = F.translate(text, "$,()-", "").cast(DECIMAL)
+    negative = F.contains(text, F.lit("(")) | F.contains(text, F.lit("-"))
+    return _result(F.lit(True), F.when(negative, F.negate(number).cast(DECIMAL)).otherwise(number), F.when(F.contains(text, F.lit("$")), "USD"), F.lit(None).cast("string"))
+
+
 def amount(text: Column) -> Column:
     """Parse an amount: brackets or one minus sign mean negative, commas group by three, a currency may stand at either end."""
+    s, none, no_value = strip(text), F.lit(None).cast("string"), F.lit(None).cast(DECIMAL)
+    blank = _result(F.lit(False), no_value, none, F.lit("blank"))
+    no_amount = _result(F.lit(False), no_value, none, F.lit("not an amount"))
+    # words: neither a digit nor a sign
+    return F.when(F.rlike(s, F.lit(f"^{_USUAL}$")), _usual(s)).when(is_blank(text), blank).when(~F.rlike(s, F.lit(r"[\d\-−()\[\]]")), no_amount).otherwise(_by_steps(text))
+
+
+def _by_steps(text: Column) -> Column:
+    """An amount of any form."""
     none, no_value = F.lit(None).cast("string"), F.lit(None).cast(DECIMAL)
 
     def again(state: Column) -> Column:
@@ -80,8 +100,7 @@ def amount(text: Column) -> Column:
             .otherwise(_result(F.lit(True), signed, s["currency"], none))
         )
 
-    parsed = let(let(let(let(let(strip_currency(text), brackets), again), sign), again), value)
-    return F.when(is_blank(text), _result(F.lit(False), no_value, none, F.lit("blank"))).otherwise(parsed)
+    return let(let(let(let(let(strip_currency(text), brackets), again), sign), again), value)
 
 
 def quantity(text: Column) -> Column:
@@ -106,7 +125,11 @@ def marker(text: Column) -> Column:
 
 def amount_loose(text: Column) -> Column:
     """An amount, or one before a glued marker."""
-    return let(amount(text), lambda a: F.when(a["ok"] | is_blank(text), a).otherwise(let(marker(text), lambda m: F.when(m["marker"].isNotNull(), amount(m["body"])).otherwise(a))))
+    s = strip(text)
+    marked = _usual(F.regexp_replace(s, r"\s*[A-Za-z]{1,2}$", ""))
+    other = let(amount(text), lambda a: F.when(a["ok"] | is_blank(text), a).otherwise(let(marker(text), lambda m: F.when(m["marker"].isNotNull(), amount(m["body"])).otherwise(a))))
+    usual = F.when(F.rlike(s, F.lit(f"^{_USUAL}$")), _usual(s)).when(F.rlike(s, F.lit(rf"^{_USUAL}\s*[A-Za-z]{{1,2}}$")), marked)
+    return usual.when(is_blank(text) | ~F.rlike(s, F.lit(r"[\d\-−()\[\]]")), amount(text)).otherwise(other)
 
 
 def looks_like_amount(text: Column) -> Column:

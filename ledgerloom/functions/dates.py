@@ -22,7 +22,7 @@ def _month_number(name: Column, short: bool) -> Column:
 
 
 def _ymd(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+    return F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
 
 
 def parse_date(text: Column, year: Column | None = None) -> Column:
@@ -48,7 +48,8 @@ def parse_date(text: Column, year: Column | None = None) -> Column:
             .when(F.rlike(s, F.lit(iso)), _ymd(part(iso, 1), part(iso, 2), part(iso, 3)))
         )
 
-    return F.when(~is_blank(text), let(strip(text), body))
+    s = strip(text)
+    return F.when(F.rlike(s, F.lit(r"\d")), body(s))
 
 
 def split_dates(text: Column) -> Column:

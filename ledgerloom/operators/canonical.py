@@ -31,7 +31,8 @@ DOMAIN_FIELDS = {
     "sumario": ["conta", "designacao_conta", "rubrica", "valor", "pagina", "tabela_origem"],
 }
 DOMAIN_TOTAL = {"posicoes": "valor_mercado", "movimentos": "valor", "rendimento": "valor", "mais_valias": "mais_valia_realizada", "transferencias": "valor", "alocacao": "valor", "sumario": "valor"}
-ACCOUNT_TOTAL_LABELS = ["total value", "total market value"]
+#: Labels of an account's printed total, the better one first (fixed values).
+ACCOUNT_TOTAL_LABELS = [r"^total\s+value\b", r"^total\s+market\s+value\b"]
 
 
 def source_column(field: str, names: Column, sources: dict[str, list[str]] = FIELD_SOURCES) -> Column:
@@ -110,12 +111,13 @@ def dataset_checks(datasets: dict[str, DataFrame], rows: DataFrame, tables: Data
     base = _base(rows.filter("row_type = 'data'"), tables, None)
     for domain in DOMAIN_FIELDS:
         field = DOMAIN_TOTAL[domain]
-        mapped = source_column(field, F.col("names"), FIELD_SOURCES)
-        column = F.col("amount_column") if domain in ("alocacao", "sumario") else F.coalesce(mapped, F.col("amount_column")) if domain in ("posicoes", "movimentos") else mapped
+        mapped = source_column(field, F.col("names"), sources)
+        column = F.col("amount_column") if domain in ("alocacao", "sumario") else mapped
         here = base.filter(F.col("domain") == domain).withColumn("_column", column)
         origin = here.groupBy("doc_id").agg(F.coalesce(F.sum(number_in(F.col("cells"), F.col("_column"))), F.lit(0)).alias("origin"), F.count(F.lit(1)).alias("n"))
         canonical = datasets[domain].groupBy("doc_id").agg(F.coalesce(F.sum(field), F.lit(0)).alias("canonical"))
-        both = canonical.join(origin, "doc_id", "left")
+        # a document whose view has lost all its rows is checked too
+        both = canonical.join(origin, "doc_id", "full").fillna({"n": 0}).withColumns({"canonical": F.coalesce("canonical", F.lit(0).cast("decimal(38,8)")), "origin": F.coalesce("origin", F.lit(0).cast("decimal(38,8)"))})
         slack = F.greatest(F.col("n"), F.lit(1)) * F.lit("0.01").cast("decimal(4,2)") if domain == "posicoes" and collapsed else F.lit(0)
         out.append(both.select(*check(F.lit("vista canónica vs tabelas de origem"), matches(F.col("canonical"), F.coalesce("origin", F.lit(0)), slack), F.col("canonical"), F.coalesce("origin", F.lit(0)), F.lit(None), F.lit(f"coluna {field}"), F.lit(ERROR), F.lit(domain), F.lit(None))))
         missing = here.filter("_column is null").select("doc_id", "title").distinct()
@@ -128,7 +130,7 @@ def account_summaries(datasets: dict[str, DataFrame], rows: DataFrame, tables: D
     held = datasets["posicoes"].groupBy("doc_id", F.col("conta").alias("account")).agg(F.count(F.lit(1)).alias("positions"), F.sum("valor_mercado").alias("market_value"))
     late = datasets["movimentos"].filter(F.contains(F.lower("tabela"), F.lit("unsettled"))).groupBy("doc_id", F.col("conta").alias("account")).agg(F.sum("valor").alias("unsettled"), F.count(F.lit(1)).alias("unsettled_rows"))
     label = F.lower(strip(F.col("label")))
-    prio = F.coalesce(*[F.when(F.startswith(label, F.lit(p)), i) for i, p in enumerate(ACCOUNT_TOTAL_LABELS)])
+    prio = F.coalesce(*[F.when(F.rlike(label, F.lit(p)), i) for i, p in enumerate(ACCOUNT_TOTAL_LABELS)])
     totals = rows.filter("row_type = 'total'").join(tables.select(*_TABLE, "account", "amount_column"), _TABLE).withColumn("num", number_in(F.col("cells"), F.col("amount_column"))).withColumn("prio", prio)
     printed = totals.filter("num is not null and prio is not null").groupBy("doc_id", "account").agg(F.min_by("num", F.struct("prio", "table_no", "row_no")).alias("printed_total"))
     key = ["doc_id", "account"]
@@ -140,6 +142,11 @@ def account_summaries(datasets: dict[str, DataFrame], rows: DataFrame, tables: D
     return filled.withColumn("reconciles", agrees)
 
 
+def account_totals(dataset: DataFrame, field: str) -> DataFrame:
+    """Per document and account: rows and the sum of ``field``."""
+    return dataset.groupBy("doc_id", F.col("conta").alias("account")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(field), F.lit(0)).alias("total"))
+
+
 def portfolio_checks(summaries: DataFrame) -> DataFrame:
     """Positions and unsettled movements against each account's printed total."""
     known = summaries.filter("printed_total is not null")

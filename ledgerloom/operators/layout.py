@@ -9,6 +9,7 @@ from ledgerloom.functions.dates import PERIOD, YEAR, period
 from ledgerloom.functions.text import account_label, account_number, fingerprint, slug, strip
 
 from .ordered import cell, column_bands
+from .tables import median_size
 
 #: Titles of sections (fixed values; pass others to change them).
 SECTION_TITLES = {
@@ -66,8 +67,7 @@ def section_ranges(hits: DataFrame, last_page: str = "page_count") -> DataFrame:
 
 def section_hits(lines: DataFrame, page_accounts: DataFrame, titles: dict[str, list[str]] = SECTION_TITLES) -> DataFrame:
     """Prominent short lines that a section's pattern matches: doc_id, account, seq, page, section, page_count."""
-    of_doc = lines.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list(F.transform("words", lambda w: w["size"])))).alias("sizes"), F.max("page").alias("page_count"))
-    shape = of_doc.select("doc_id", "page_count", F.coalesce(F.get("sizes", F.expr("cast(size(sizes) div 2 as int)")), F.lit(0.0)).alias("median"))
+    shape = lines.groupBy("doc_id").agg(F.max("page").alias("page_count")).join(median_size(lines), "doc_id", "left").fillna({"median": 0.0})
     text = strip(F.col("text"))
     section = F.coalesce(*[F.when(F.exists(F.array(*[F.rlike(text, F.lit(f"(?i){p}")) for p in patterns]), lambda x: x), name) for name, patterns in titles.items()])
     joined = lines.join(shape, "doc_id").join(page_accounts, ["doc_id", "page"], "left").withColumn("section", section)

@@ -14,15 +14,20 @@ Y_TOLERANCE, COLUMN_GAP, COLUMN_PAD = 2.5, 8.0, 3.0
 def anchored_groups(items: Column, position: str, tolerance: float) -> Column:
     """Fold a sorted array of structs: an item joins the last group if it is within ``tolerance`` of the group's least position."""
 
-    def step(groups: Column, item: Column) -> Column:
-        last = F.element_at(groups, -1)
-        joins = (F.size(groups) > 0) & (F.abs(item[position] - F.get(groups, F.size(groups) - 1)["low"]) <= tolerance)
-        grown = F.struct(F.least(last["low"], item[position]).alias("low"), F.concat(last["items"], F.array(item)).alias("items"))
-        alone = F.array(F.struct(item[position].alias("low"), F.array(item).alias("items")))
-        return F.when(joins, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(grown))).otherwise(F.concat(groups, alone))
-
-    empty = F.filter(F.transform(items, lambda x: F.struct(x[position].alias("low"), F.array(x).alias("items"))), lambda _: F.lit(False))
-    return F.aggregate(items, empty, step)
+    # the fold keeps where groups begin; the items are cut afterwards, so no item is copied twice
+    def step(state: Column, item: Column) -> Column:
+        joins = (state["at"] > 0) & (F.abs(item[position] - state["low"]) <= tolerance)
+        low = F.when(joins, F.least(state["low"], item[position])).otherwise(item[position])
+        return F.struct((state["at"] + 1).alias("at"), low.alias("low"), F.when(joins, state["starts"]).otherwise(F.concat(state["starts"], F.array(state["at"]))).alias("starts"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("low"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(items, begin, step, lambda s: s["starts"])
+
+    def group(start: Column, end: Column) -> Column:
+        mine = F.slice(items, start + 1, F.coalesce(end, F.size(items)) - start)
+        return F.struct(F.array_min(F.transform(mine, lambda x: x[position])).alias("low"), mine.alias("items"))
+
+    return F.get(F.transform(F.array(starts), lambda s: F.zip_with(s, F.slice(s, F.lit(2), F.greatest(F.size(s), F.lit(1))), group)), F.lit(0))
 
 
 def lines(words: DataFrame, y_tolerance: float = Y_TOLERANCE) -> DataFrame:

@@ -11,7 +11,7 @@ from ledgerloom.functions.amounts import rounding_slack
 from ledgerloom.functions.labels import PLAIN_TOTAL_LOOSE, label_matches_title, title_words
 from ledgerloom.functions.text import strip
 
-from .tables import number_in
+from .tables import dropped_tables, number_in
 
 _TABLE = ["doc_id", "table_no"]
 ERROR, NOTICE = "erro", "aviso"
@@ -112,10 +112,11 @@ def cross_checks(rows: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def note_checks(assigned: DataFrame, tables: DataFrame) -> DataFrame:
-    """Blocks that became no table, and refined value columns: notices."""
+    """Blocks that became no table, tables without a numeric column, and refined value columns: notices."""
+    dropped = dropped_tables(assigned, tables).select(*check(F.lit("tabela ignorada"), F.lit(False), F.col("note"), F.lit("—"), F.col("page"), F.col("note"), F.lit(NOTICE), table_no=F.lit(None)))
     skipped = assigned.filter("note is not null").select(*check(F.lit("bloco ignorado"), F.lit(False), F.col("note"), F.lit("—"), F.col("page"), F.col("note"), F.lit(NOTICE), table_no=F.lit(None)))
     moved = tables.filter("refine_note is not null").select(*check(F.lit("coluna de valor"), F.lit(False), F.col("refine_note"), F.lit("—"), F.element_at("pages", 1), F.col("refine_note"), F.lit(NOTICE)))
-    return skipped.unionByName(moved)
+    return skipped.unionByName(dropped).unionByName(moved)
 
 
 def table_states(tables: DataFrame, checks: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts, dates, labels, text
-from ledgerloom.operators import canonical, export, layout, ordered, reconcile
+from ledgerloom.operators import canonical, export, layout, ordered, reconcile, sections
 from ledgerloom.operators.tables import cell_value
+from ledgerloom.plans.sweep import detect
+from ledgerloom.sources import sinks
 from ledgerloom.sources.words import text_layer
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,11 +52,18 @@ def _printed(cents) -> F.Column:
     return F.when(cents < 0, F.concat(F.lit("($"), whole, F.lit(")"))).otherwise(F.concat(F.lit("$"), whole))
 
 
-@query("""SELECT l_returnflag, count(*)::BIGINT AS n, sum(CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * round(l_extendedprice * 100)::BIGINT)::BIGINT AS total_cents, 0::BIGINT AS errors, 'USD' AS currency FROM lineitem GROUP BY l_returnflag""")
+@query("""
+WITH t AS (SELECT l_returnflag, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * round(l_extendedprice * 100)::BIGINT AS cents, l_partkey % 10 = 0 AS broken, CASE WHEN l_linenumber % 2 = 0 THEN 'USD' END AS currency FROM lineitem)
+SELECT l_returnflag, CASE WHEN NOT broken THEN currency END AS currency, count(*)::BIGINT AS n, (sum(cents) FILTER (NOT broken))::BIGINT AS total_cents, count(*) FILTER (broken)::BIGINT AS errors FROM t GROUP BY ALL""")
 def amount_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts with and without a dollar sign, some of them with a second decimal point."""
     cents = F.when(F.col("l_returnflag") == "R", -_cents("l_extendedprice")).otherwise(_cents("l_extendedprice"))
-    parsed = _t(spark, sf, "lineitem").select("l_returnflag", amounts.amount(_printed(cents)).alias("a"))
-    return parsed.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("a.value") * 100).cast("bigint")).alias("total_cents"), F.count_if(~F.col("a.ok")).alias("errors"), F.max("a.currency").alias("currency"))
+    shown = _printed(cents)
+    shown = F.when(F.col("l_linenumber") % 2 == 0, shown).otherwise(F.translate(shown, "$", ""))
+    raw = F.when(F.col("l_partkey") % 10 == 0, F.concat(shown, F.lit(".1"))).otherwise(shown)
+    printed = _t(spark, sf, "lineitem").select("l_returnflag", raw.alias("raw"))
+    parsed = printed.select("l_returnflag", amounts.amount(F.col("raw")).alias("a"))
+    return parsed.groupBy("l_returnflag", "a.currency").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("a.value") * 100).cast("bigint")).alias("total_cents"), F.count_if(~F.col("a.ok")).alias("errors"))
 
 
 LITERALS = ["(1,234.56)", "$(1,234.56)", "($1,234.56)", "US$ 5", "1,23.45", "1,234", "-5", "(-5)", "5-", "+7.5", "USD 1,234.56", "1,234.56 EUR", "€5", "5€", "", "—", "N/A", "[12]", "$", "abc", "12/8", "1 000", "--5", "1,234,567.891", "1.2.3", "12,34", "(12", "5 CHF"]
@@ -66,17 +75,19 @@ WITH lit(i, raw) AS (VALUES {_LITERAL_ROWS}),
 plain AS (SELECT i, raw, regexp_replace(regexp_replace(raw, '^(US\\$|\\$|€|[A-Z]{{3}} )\\s*', ''), '\\s*(€| [A-Z]{{3}})$', '') AS a FROM lit),
 inner_ AS (SELECT i, raw, CASE WHEN regexp_full_match(a, '\\(.*\\)|\\[.*\\]') THEN regexp_replace(substr(a, 2, length(a) - 2), '^(US\\$|\\$|€)', '') ELSE a END AS b, regexp_full_match(a, '\\(.*\\)|\\[.*\\]') AS neg FROM plain),
 signed AS (SELECT i, raw, CASE WHEN b LIKE '-%' THEN substr(b, 2) WHEN b LIKE '%-' THEN left(b, length(b) - 1) WHEN b LIKE '+%' THEN substr(b, 2) ELSE b END AS c, neg AND (b LIKE '-%' OR b LIKE '%-') AS bad FROM inner_)
-SELECT i AS seq, raw, raw NOT IN ('', '—', 'N/A') AND NOT bad AND regexp_full_match(c, '[0-9]{{1,3}}(,[0-9]{{3}})*(\\.[0-9]+)?|[0-9]+(\\.[0-9]+)?') AS ok FROM signed""")
+SELECT i AS seq, raw, raw NOT IN ('', '—', 'N/A') AND NOT bad AND regexp_full_match(c, '[0-9]{{1,3}}(,[0-9]{{3}})*(\\.[0-9]+)?|[0-9]+(\\.[0-9]+)?') AS ok, count(*)::BIGINT AS n FROM signed JOIN lineitem ON l_orderkey % {len(LITERALS)} = i GROUP BY ALL""")
 def amount_reject(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(LITERALS)), "seq int, raw string").select("seq", "raw", amounts.looks_like_amount(F.col("raw")).alias("ok"))
+    seq = (F.col("l_orderkey") % len(LITERALS)).cast("int")
+    printed = _t(spark, sf, "lineitem").select(seq.alias("seq"), F.get(F.array(*[F.lit(x) for x in LITERALS]), seq).alias("raw"))
+    return printed.withColumn("ok", amounts.looks_like_amount(F.col("raw"))).groupBy("seq", "raw", "ok").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 2 THEN NULL ELSE ['ST', 'LT'][l_linenumber % 3 + 1] END AS marker, round(l_extendedprice * 100)::BIGINT AS cents FROM lineitem""")
 def marker_split(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("l_linenumber") % 3
     raw = F.concat(_printed(_cents("l_extendedprice")), F.when(k == 0, "ST").when(k == 1, "LT").otherwise(""))
-    m = amounts.marker(raw)
-    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", m["marker"].alias("marker"), F.round(amounts.amount_loose(raw)["value"] * 100).cast("bigint").alias("cents"))
+    printed = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"))
+    return printed.select("l_orderkey", "l_linenumber", "l_partkey", amounts.marker(F.col("raw"))["marker"].alias("marker"), F.round(amounts.amount_loose(F.col("raw"))["value"] * 100).cast("bigint").alias("cents"))
 
 
 @query("""SELECT l_linenumber, l_shipdate::DATE AS parsed, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL""")
@@ -87,7 +98,8 @@ def date_parse_formats(spark: SparkSession, sf: str) -> DataFrame:
     for i, f in enumerate(forms):
         shown = F.date_format(d, f)
         raw = F.when(F.col("l_linenumber") % 7 == i, shown) if raw is None else raw.when(F.col("l_linenumber") % 7 == i, shown)
-    return _t(spark, sf, "lineitem").select("l_linenumber", dates.parse_date(raw).alias("parsed")).groupBy("l_linenumber", "parsed").agg(F.count(F.lit(1)).alias("n"))
+    printed = _t(spark, sf, "lineitem").select("l_linenumber", raw.alias("raw"))
+    return printed.select("l_linenumber", dates.parse_date(F.col("raw")).alias("parsed")).groupBy("l_linenumber", "parsed").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT event_type, count(*)::BIGINT AS n, count(*) FILTER (event_id % 4 < 2)::BIGINT AS blanks FROM events GROUP BY event_type""")
@@ -139,7 +151,7 @@ SELECT title, CASE WHEN title LIKE '%GAIN/%' THEN 'mais_valias' WHEN title LIKE
   count(*)::BIGINT AS n FROM t GROUP BY title""")
 def classify_domain(spark: SparkSession, sf: str) -> DataFrame:
     title = F.get(F.array(*[F.lit(x) for x in _TITLES]), (F.col("o_orderkey") % 8).cast("int"))
-    return _t(spark, sf, "orders").select(title.alias("title")).groupBy("title").agg(F.count(F.lit(1)).alias("n")).select("title", labels.classify_domain(F.col("title")).alias("domain"), "n")
+    return _t(spark, sf, "orders").select(title.alias("title")).withColumn("domain", labels.classify_domain(F.col("title"))).groupBy("title", "domain").agg(F.count(F.lit(1)).alias("n"))
 
 
 _ROW_LABELS = ["Total Holdings", "total purchases vs x", "Purchases", "Purchases of funds", "Net credits/(debits)", "Long-term year to date", "Short term this period", "Subtotal A", "", "Asset class: equities"]
@@ -210,11 +222,16 @@ def block_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT doc_id, regexp_replace(lower(trim(line)), '[0-9]', '#', 'g') AS print FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
-SELECT print, count(DISTINCT doc_id)::BIGINT AS docs FROM l WHERE print <> '' GROUP BY print HAVING count(DISTINCT doc_id) >= 3""")
+WITH h AS (SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 THEN 'head ' || event_type ELSE 'head of #' END AS head FROM events),
+p AS (SELECT user_id, count(*) AS pages FROM events GROUP BY user_id),
+r AS (SELECT user_id, max(n) AS most FROM (SELECT user_id, head, count(*) AS n FROM h GROUP BY ALL) GROUP BY user_id)
+SELECT user_id::VARCHAR AS doc_id, CASE WHEN most >= greatest(2, round_even(pages * 0.8, 0)) THEN 7.0::DOUBLE END AS band_top, CASE WHEN pages >= 2 THEN 94.0::DOUBLE END AS band_bottom FROM p JOIN r USING (user_id)""")
 def repeated_lines(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", text.fingerprint(F.col("line")).alias("print")).filter("print <> ''")
-    return lines.distinct().groupBy("print").agg(F.count(F.lit(1)).alias("docs")).filter("docs >= 3")
+    """Users as documents, events as pages: a header that may repeat, a body line, and a numbered footer."""
+    head = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("Head "), "event_type")).otherwise(F.concat(F.lit(" head of "), (F.col("event_id") % 10).cast("string")))
+    printed = F.array(*[F.struct(F.lit(i).alias("line_no"), F.lit(top).alias("top"), F.lit(top + 4.0).alias("bottom"), text_.alias("text")) for i, (top, text_) in enumerate([(2.0, head), (50.0, F.col("event_type")), (95.0, F.concat(F.lit("Page "), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0")))])])
+    pages = _t(spark, sf, "events").select(F.col("user_id").cast("string").alias("doc_id"), F.col("event_id").alias("page"), F.lit(100.0).alias("height"), F.explode(printed).alias("l"))
+    return layout.body_band(pages.select("doc_id", "page", "l.*"), pages.select("doc_id", "page", "height").distinct())
 
 
 @query("""SELECT source AS doc_id, count(*)::BIGINT AS page_count, count(*) FILTER (length(text) > 0)::BIGINT AS pages_with_text, sum(length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')))::BIGINT AS chars_total, count(*) FILTER (length(text) > 0) / count(*) AS ratio FROM documents GROUP BY source""")
@@ -239,6 +256,11 @@ def lot_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("l_orderkey", "lots", F.col("cents").alias("extracted_cents"), F.col("printed").alias("printed_cents"), reconcile.matches(a, b).alias("passed"), F.when(within, reconcile.NOTICE).otherwise(reconcile.ERROR).alias("severity"))
 
 
+def _cells(values: dict) -> F.Column:
+    """Cells of a row from whole cents by column name."""
+    return F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("pos"), F.struct(F.lit("").alias("raw"), _money(v).cast("decimal(28,8)").alias("num"), F.lit(None).cast("date").alias("dt"), F.lit("amount").alias("kind")).alias("v")) for i, (n, v) in enumerate(values.items())])
+
+
 def _statement_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as tables of one group: line items as data, and every second order closes with a bare total."""
     items = _t(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("doc_id"), "l_linenumber", "l_partkey", "l_suppkey", _cents("l_extendedprice").alias("cents"), (F.col("l_orderkey") % 2 == 0).alias("closes"))
@@ -280,40 +302,43 @@ def promote_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT l_returnflag, sum(round(l_quantity * 100)::BIGINT) AS quantity, sum(round(l_extendedprice * 100)::BIGINT) AS price, sum(round(l_discount * 100)::BIGINT) AS discount, sum(round(l_tax * 100)::BIGINT) AS tax FROM lineitem GROUP BY l_returnflag)
-SELECT l_returnflag, 'price' AS amount_column, price::BIGINT AS cents FROM s""")
+WITH s AS (SELECT l_returnflag, l_linestatus, count(*) AS n, sum(round(l_quantity * 100)::BIGINT) AS quantity, sum(round(l_extendedprice * 100)::BIGINT) AS price, sum(round(l_discount * 100)::BIGINT) AS discount, sum(round(l_tax * 100)::BIGINT) AS tax FROM lineitem GROUP BY ALL),
+p AS (SELECT *, CASE l_returnflag || l_linestatus WHEN 'AF' THEN price WHEN 'RF' THEN discount WHEN 'NO' THEN quantity ELSE -5 END AS printed FROM s)
+SELECT l_returnflag || l_linestatus AS part, CASE WHEN abs(quantity - printed) <= 1 THEN 'quantity' WHEN abs(price - printed) <= 1 THEN 'price' WHEN abs(discount - printed) <= 1 THEN 'discount' ELSE 'tax' END AS amount_column, printed::BIGINT AS cents FROM p""")
 def refine_amount_column(spark: SparkSession, sf: str) -> DataFrame:
+    """The column chosen by name is the last one; a printed total proves another, or none."""
     from ledgerloom.operators.tables import refine_amount
 
     names = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount", "tax": "l_tax"}
-    sums = _t(spark, sf, "lineitem").groupBy("l_returnflag").agg(*[F.sum(_cents(c)).alias(n) for n, c in names.items()])
-
-    def cells(values: dict) -> F.Column:
-        return F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("pos"), F.struct(F.lit("").alias("raw"), _money(v).cast("decimal(28,8)").alias("num"), F.lit(None).cast("date").alias("dt"), F.lit("amount").alias("kind")).alias("v")) for i, (n, v) in enumerate(values.items())])
-
-    keyed = sums.withColumns({"doc_id": F.col("l_returnflag"), "table_no": F.lit(0)})
-    data = keyed.select("doc_id", "table_no", F.lit(1).alias("row_no"), F.lit("data").alias("row_type"), cells({n: F.col(n) for n in names}).alias("cells"))
-    printed = keyed.select("doc_id", "table_no", F.lit(2).alias("row_no"), F.lit("total").alias("row_type"), cells({n: F.col("price") if n == "price" else F.lit(-1) for n in names}).alias("cells"))
+    sums = _t(spark, sf, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("doc_id")).agg(*[F.sum(_cents(c)).alias(n) for n, c in names.items()])
+    printed = F.when(F.col("doc_id") == "AF", F.col("price")).when(F.col("doc_id") == "RF", F.col("discount")).when(F.col("doc_id") == "NO", F.col("quantity")).otherwise(F.lit(-5))
+    keyed = sums.withColumns({"table_no": F.lit(0), "printed": printed})
+    data = keyed.select("doc_id", "table_no", F.lit(1).alias("row_no"), F.lit("data").alias("row_type"), _cells({n: F.col(n) for n in names}).alias("cells"))
+    total = keyed.select("doc_id", "table_no", F.lit(2).alias("row_no"), F.lit("total").alias("row_type"), _cells({n: F.col("printed") for n in names}).alias("cells"))
     tables = keyed.select("doc_id", "table_no", F.lit("T").alias("title"), F.lit("tax").alias("amount_column"), F.array(F.lit(1)).alias("pages"))
-    got = refine_amount(tables, data.unionByName(printed))
-    return got.join(keyed.select("doc_id", "price"), "doc_id").select(F.col("doc_id").alias("l_returnflag"), "amount_column", F.col("price").alias("cents"))
+    got = refine_amount(tables, data.unionByName(total))
+    return got.join(keyed.select("doc_id", F.col("printed").alias("cents")), "doc_id").select(F.col("doc_id").alias("part"), "amount_column", "cents")
 
 
 @query("""
-WITH w AS (SELECT DISTINCT p_type, list_distinct(list_transform(regexp_extract_all(p_type, '[A-Za-z]{3,}'), lambda x: lower(x))) AS words FROM part),
-s AS (SELECT DISTINCT p_brand, p_type FROM part),
-l AS (SELECT p_brand, list_distinct(list_transform(regexp_extract_all(p_type, '[A-Za-z]{3,}'), lambda x: lower(x)))[1] AS word FROM s),
-d AS (SELECT DISTINCT p_brand, word FROM l WHERE word IS NOT NULL),
-h AS (SELECT d.p_brand, d.word, w.p_type FROM d JOIN w ON list_contains(w.words, d.word))
-SELECT p_brand, word, count(*)::BIGINT AS targets, count(*) = 1 AS single FROM h GROUP BY ALL""")
+WITH s AS (SELECT n_nationkey, count(*) AS n, sum(round(c_acctbal * 100)::BIGINT)::BIGINT AS cents FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT n_nationkey AS target, cents AS extracted_cents, cents + CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 40 ELSE 1000000 END AS expected_cents, CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 40 ELSE 1000000 END <= n AS passed FROM s""")
 def cross_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """Summary labels against detail titles; a claim is made only where exactly one title fits."""
-    parts = _t(spark, sf, "part")
-    titles = parts.select("p_type").distinct()
-    label = parts.select("p_brand", F.get(labels.words_of(F.col("p_type")), F.lit(0)).alias("word")).filter("word is not null").distinct()
-    fits = titles.withColumn("w", F.explode(labels.words_of(F.col("p_type")))).withColumnRenamed("w", "word")
-    hits = label.join(fits, "word").filter(labels.label_matches_title(F.col("word"), F.col("p_type")))
-    return hits.groupBy("p_brand", "word").agg(F.count(F.lit(1)).alias("targets")).withColumn("single", F.col("targets") == 1)
+    """Regions as accounts: an overview names each nation with its sum, right or not, and each nation has its table of customers."""
+    who = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    who = who.withColumn("code", F.concat(F.lit("GROUP "), F.repeat(F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.col("n_nationkey") + 1, F.lit(1)), F.lit(3))))
+    base = {"doc_id": F.lit("d"), "page": F.lit(1), "row_type": F.lit("data"), "row_no": F.col("c_custkey").cast("int"), "table_no": F.col("n_nationkey").cast("int"), "label": F.lit(""), "description": F.lit("a b"), "cells": _cells({"value": _cents("c_acctbal")})}
+    detail = who.select(*(c.alias(n) for n, c in base.items()))
+    off = F.when(F.col("n_nationkey") % 3 == 0, 0).when(F.col("n_nationkey") % 3 == 1, 40).otherwise(1_000_000)
+    sums = who.groupBy("n_nationkey", "code", "r_regionkey", "r_name").agg(F.sum(_cents("c_acctbal")).alias("cents"))
+    named = base | {"row_no": F.col("n_nationkey").cast("int"), "table_no": (100 + F.col("r_regionkey")).cast("int"), "label": F.lower("code"), "cells": _cells({"value": F.col("cents") + off})}
+    rows = detail.unionByName(sums.select(*(c.alias(n) for n, c in named.items())))
+    shape = {"account": F.col("r_name"), "amount_column": F.lit("value"), "pages": F.array(F.lit(1))}
+    tables = sums.select(F.lit("d").alias("doc_id"), F.col("n_nationkey").cast("int").alias("table_no"), F.col("code").alias("title"), F.array("code").alias("path"), *(c.alias(n) for n, c in shape.items()))
+    overviews = sums.select("r_regionkey", "r_name").distinct().select(F.lit("d").alias("doc_id"), (100 + F.col("r_regionkey")).cast("int").alias("table_no"), F.lit("OVERVIEW").alias("title"), F.array(F.lit("OVERVIEW")).alias("path"), *(c.alias(n) for n, c in shape.items()))
+    got = reconcile.cross_checks(rows, tables.unionByName(overviews))
+    cents = {f"{c}_cents": F.round(F.col(c).try_cast("decimal(28,8)") * 100).cast("bigint") for c in ("extracted", "expected")}
+    return got.select(F.col("table_no").cast("bigint").alias("target"), *(c.alias(n) for n, c in cents.items()), "passed")
 
 
 @query("""
@@ -337,13 +362,23 @@ def position_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT o_custkey AS account, count(*) FILTER (o_orderstatus <> 'O')::BIGINT AS positions, coalesce(sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus <> 'O'), 0)::BIGINT AS held_cents, coalesce(sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = 'O'), 0)::BIGINT AS unsettled_cents,
-  arg_min(o_orderkey, (CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE 1 END) * 1000000000000 + o_orderkey) AS first_match FROM orders GROUP BY o_custkey""")
+WITH f AS (SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'O')::BIGINT AS positions, coalesce(sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus <> 'O'), 0)::BIGINT AS held, coalesce(sum(round(o_totalprice * 100)::BIGINT) FILTER (o_orderstatus = 'O'), 0)::BIGINT AS late FROM orders GROUP BY o_custkey),
+p AS (SELECT *, CASE o_custkey % 4 WHEN 0 THEN held + late WHEN 1 THEN held + late + 1 WHEN 2 THEN held + late + 100000 END AS printed FROM f)
+SELECT o_custkey::VARCHAR AS account, positions, held AS held_cents, late AS late_cents, printed::BIGINT AS printed_cents, abs(held + late - printed) <= greatest(positions, 1) AS reconciles FROM p""")
 def account_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "orders").withColumn("cents", _cents("o_totalprice")).withColumn("open", F.col("o_orderstatus") == "O")
-    prio = F.when(F.startswith("o_orderpriority", F.lit("1")), 0).otherwise(1)
-    zero = F.lit(0).cast("bigint")
-    return rows.groupBy(F.col("o_custkey").alias("account")).agg(F.count_if(~F.col("open")).alias("positions"), F.coalesce(F.sum(F.when(~F.col("open"), F.col("cents"))), zero).alias("held_cents"), F.coalesce(F.sum(F.when(F.col("open"), F.col("cents"))), zero).alias("unsettled_cents"), F.min_by("o_orderkey", F.struct(prio, "o_orderkey")).alias("first_match"))
+    """Customers as accounts: closed orders are held, open ones unsettled; three of four print a total, under two names and among other totals."""
+    orders = _t(spark, sf, "orders").select(F.lit("d").alias("doc_id"), F.col("o_custkey").cast("string").alias("conta"), "o_custkey", (F.col("o_orderstatus") == "O").alias("open"), _cents("o_totalprice").alias("cents"))
+    value = _money(F.col("cents")).cast("decimal(28,8)")
+    datasets = {"posicoes": orders.filter("not open").select("doc_id", "conta", value.alias("valor_mercado")), "movimentos": orders.filter("open").select("doc_id", "conta", F.lit("UNSETTLED PURCHASES/SALES").alias("tabela"), value.alias("valor"))}
+    whole = orders.groupBy("doc_id", "o_custkey", "conta").agg(F.sum("cents").alias("cents"))
+    off = F.when(F.col("o_custkey") % 4 == 0, 0).when(F.col("o_custkey") % 4 == 1, 1).when(F.col("o_custkey") % 4 == 2, 100_000)
+    printed = [("Total Valued Goods", F.lit(7)), ("Total  Market Value", F.when(F.col("o_custkey") % 4 == 2, F.col("cents") + off).otherwise(F.lit(3))), ("TOTAL\tVALUE of all", F.when(F.col("o_custkey") % 4 < 2, F.col("cents") + off)), ("Subtotal value", F.lit(9))]
+    lines = whole.select("doc_id", F.col("o_custkey").cast("int").alias("table_no"), "o_custkey", F.explode(F.array(*[F.struct(F.lit(i).alias("row_no"), F.lit(name).alias("label"), cents.cast("bigint").alias("cents")) for i, (name, cents) in enumerate(printed)])).alias("x")).select("doc_id", "table_no", "o_custkey", "x.*")
+    lines = lines.filter("o_custkey % 4 <> 3 or row_no in (0, 3)").withColumns({"row_type": F.lit("total"), "cells": _cells({"value": F.col("cents")})})
+    tables = whole.select("doc_id", F.col("o_custkey").cast("int").alias("table_no"), F.col("conta").alias("account"), F.lit("value").alias("amount_column"))
+    got = canonical.account_summaries(datasets, lines, tables, whole.select("doc_id", F.col("conta").alias("account"), F.lit("").alias("label")))
+    cents = {n: F.round(F.col(c) * 100).cast("bigint") for n, c in (("held_cents", "market_value"), ("late_cents", "unsettled"), ("printed_cents", "printed_total"))}
+    return got.select("account", F.col("positions").cast("bigint").alias("positions"), *(c.alias(n) for n, c in cents.items()), "reconciles")
 
 
 @query("""
@@ -363,6 +398,43 @@ def canonical_union(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+_DATASET_TITLES = {"posicoes": "MUTUAL FUNDS", "movimentos": "CASH FLOW ACTIVITY BY DATE", "mais_valias": "REALIZED GAIN/(LOSS) DETAIL - SHORT TERM", "sumario": "ACCOUNT SUMMARY", "alocacao": "ASSET ALLOCATION"}
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_orderkey % 5 AS k, round(l_extendedprice * 100)::BIGINT AS cents, round(l_quantity * 100)::BIGINT AS units, l_shipdate::DATE AS day,
+  ['Dividend Reinvestment', 'Sold', 'Interest', 'Wire'][(l_linenumber % 4 + 1)::INT] AS kind FROM lineitem),
+v AS (SELECT 'posicoes' AS domain, 'Fund K' || l_orderkey AS name, 'S' || l_linenumber AS symbol, NULL AS kind, cents, units FROM l WHERE k = 0
+  UNION ALL SELECT 'movimentos', CASE WHEN kind = 'Wire' THEN 'Wire ' ELSE '' END || 'K' || l_orderkey || ' (S' || l_linenumber || ')', 'S' || l_linenumber, nullif(kind, 'Wire'), cents, units FROM l WHERE k = 1
+  UNION ALL SELECT 'rendimento', 'K' || l_orderkey || ' (S' || l_linenumber || ')', 'S' || l_linenumber, kind, cents, units FROM l WHERE k = 1 AND kind = 'Interest'
+  UNION ALL SELECT 'mais_valias', 'Fund K' || l_orderkey, 'S' || l_linenumber, 'Curto prazo', NULL, units FROM l WHERE k = 2
+  UNION ALL SELECT 'sumario', 'Fund K' || l_orderkey || ' (S' || l_linenumber || ')', NULL, NULL, cents, NULL FROM l WHERE k = 3
+  UNION ALL SELECT 'alocacao', 'Fund K' || l_orderkey || ' (S' || l_linenumber || ')', NULL, NULL, cents, NULL FROM l WHERE k = 4)
+SELECT domain, name, symbol, kind, cents::BIGINT AS cents, units::BIGINT AS units, count(*)::BIGINT AS n FROM v GROUP BY ALL""")
+def canonical_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as tables of five domains, their items as rows: every domain in its own schema, read back in one."""
+    domains = list(_DATASET_TITLES)
+    domain = F.get(F.array(*[F.lit(d) for d in domains]), (F.col("l_orderkey") % 5).cast("int"))
+    title = F.get(F.array(*[F.lit(t) for t in _DATASET_TITLES.values()]), (F.col("l_orderkey") % 5).cast("int"))
+    items = _t(spark, sf, "lineitem").withColumns({"domain": domain, "title": title, "doc_id": F.col("l_orderkey").cast("string"), "table_no": F.lit(0)})
+    tail = F.concat(F.lit("K"), "doc_id", F.lit(" (S"), F.col("l_linenumber").cast("string"), F.lit(")"))
+    kind = F.get(F.array(*[F.lit(k) for k in ("Dividend Reinvestment", "Sold", "Interest", "Wire")]), (F.col("l_linenumber") % 4).cast("int"))
+    label = F.when(F.col("domain") == "movimentos", F.concat(kind, F.lit(" "), tail)).otherwise(F.concat(F.lit("Fund "), tail))
+    date = F.array(F.struct(F.lit("").alias("raw"), F.col("l_shipdate").cast("date").alias("dt")))
+    rows = items.select("doc_id", "table_no", F.col("l_linenumber").cast("int").alias("row_no"), F.lit("data").alias("row_type"), F.lit(1).alias("page"), label.alias("label"), label.alias("description"), label.alias("group"), date.alias("dates"), _cells({"quantity": _cents("l_quantity"), "market_value": _cents("l_extendedprice")}).alias("cells"))
+    columns = F.array(*[F.struct(F.lit(n).alias("name")) for n in ("description", "quantity", "market_value")])
+    tables = items.select("doc_id", "table_no", "title").distinct().withColumns({"account": F.lit("a"), "amount_column": F.lit("market_value"), "columns": columns})
+    got = canonical.build_datasets(rows, tables)
+    parts = {"posicoes": ("titulo", "simbolo", None, "valor_mercado", "quantidade"), "movimentos": ("descricao", "simbolo", "tipo", "valor", "quantidade"), "rendimento": ("descricao", "simbolo", "tipo", "valor", "quantidade"), "mais_valias": ("titulo", "simbolo", "prazo", "mais_valia_realizada", "quantidade"), "sumario": ("rubrica", None, None, "valor", None), "alocacao": ("rubrica", None, None, "valor", None)}
+    out = None
+    for name, (a, b, c, v, u) in parts.items():
+        texts = [(F.col(x) if x else F.lit(None).cast("string")).alias(n) for x, n in ((a, "name"), (b, "symbol"), (c, "kind"))]
+        sums = [(F.round(F.col(x) * 100).cast("bigint") if x else F.lit(None).cast("bigint")).alias(n) for x, n in ((v, "cents"), (u, "units"))]
+        part = got[name].select(F.lit(name).alias("domain"), *texts, *sums)
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("domain", "name", "symbol", "kind", "cents", "units").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _positions(spark: SparkSession, sf: str) -> DataFrame:
     rows = _t(spark, sf, "orders").select(F.lit("d").alias("doc_id"), F.col("o_custkey").cast("string").alias("conta"), F.concat(F.lit("Order – "), F.col("o_orderkey").cast("string")).alias("titulo"), F.col("o_orderpriority").alias("classe_ativo"), _money(_cents("o_totalprice")).cast("decimal(28,8)").alias("valor_mercado"), F.col("o_orderdate").cast("date").alias("data_compra"))
     empty = {c: F.lit(None).cast("decimal(28,8)") for c in ("quantidade", "preco_unitario", "custo_unitario", "custo_total", "mais_valia_nao_realizada", "rendimento_anual_estimado", "yield_pct", "peso_pct")}
@@ -419,11 +491,19 @@ def explosion_consolidated(spark: SparkSession, sf: str) -> DataFrame:
     return export.explode_funds(rows, funds, "consolidado").select("IDATIVO", F.col("ORIGEM_EXPLOSAO").alias("origin"), F.round(F.col("VLR_BRUTO_MOEDA_ORIGINAL") * 100).cast("bigint").alias("cents"))
 
 
-@query(_FUND_SQL + """ SELECT unnest(['explosão consolidado vs não explodida', 'explosão detalhado vs não explodida']) AS name, true AS passed, sum(cents)::BIGINT AS cents FROM c""")
+@query(_FUND_SQL + """,
+v AS (SELECT sum(cents) AS base, coalesce(sum(cents) FILTER (n_nationkey % 2 = 1 OR c_custkey % 7 > 0), 0) AS short FROM c)
+SELECT unnest(['explosão consolidado vs não explodida', 'explosão detalhado vs não explodida']) AS name, whole, (whole OR short = base) AS passed, (CASE WHEN whole THEN base ELSE short END)::BIGINT AS cents FROM v, (VALUES (true), (false)) AS t(whole)""")
 def explosion_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Funds that are whole, and funds that lack some holdings."""
     rows, funds = _funds(spark, sf)
-    got = export.explosion_checks({m: export.explode_funds(rows, funds, m) for m in export.MODES})
-    return got.select("name", "passed", F.round(F.col("extracted").cast("decimal(28,8)") * 100).cast("bigint").alias("cents"))
+    short = funds.withColumn("holdings", F.filter("holdings", lambda h: h["idativo"].cast("bigint") % 7 > 0))
+    out = None
+    for whole, side in ((True, funds), (False, short)):
+        got = export.explosion_checks({m: export.explode_funds(rows, side, m) for m in export.MODES})
+        part = got.select("name", F.lit(whole).alias("whole"), "passed", F.round(F.col("extracted").cast("decimal(28,8)") * 100).cast("bigint").alias("cents"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("""
@@ -450,19 +530,92 @@ def period_detect(spark: SparkSession, sf: str) -> DataFrame:
     d = F.col("o_orderdate").cast("date")
     acc = F.concat(F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad((F.col("o_orderkey") % 1000000).cast("string"), 6, "0"), F.lit("-042"))
     line = F.concat(F.lit("Account "), acc, F.lit(" For the Period "), F.date_format(d, "MMMM"), F.lit(" 1-"), F.dayofmonth(F.last_day(d)).cast("string"), F.lit(", "), F.year(d).cast("string"))
-    rows = _t(spark, sf, "orders").select(line.alias("line")).select(text.account_number(F.col("line")).alias("account"), dates.period(F.col("line")).alias("p"))
-    return rows.select("account", "p.year", "p.start", "p.end", dates.period_hint(F.col("p.start")).alias("hint")).groupBy("account", "year", "start", "end", "hint").agg(F.count(F.lit(1)).alias("n"))
+    printed = _t(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("line_no"), line.alias("text"))
+    found = layout.statement_period(printed).join(printed.select("doc_id", text.account_number(F.col("text")).alias("account")), "doc_id")
+    return found.select("account", F.col("statement_year").alias("year"), F.col("period_start").alias("start"), F.col("period_end").alias("end"), dates.period_hint(F.col("period_start")).alias("hint")).groupBy("account", "year", "start", "end", "hint").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS account, min(page_id) AS first_page, count(*)::BIGINT AS n FROM pages GROUP BY 1""")
+@query("""
+WITH t AS (SELECT o_custkey, o_orderkey, lpad((o_custkey % 1000)::VARCHAR, 3, '0') || '-' || lpad((o_orderkey % 3)::VARCHAR, 6, '0') || '-042' AS account, CASE WHEN o_orderpriority LIKE '4%' THEN 'Account' ELSE o_orderpriority END AS label FROM orders WHERE o_orderkey % 5 > 0)
+SELECT o_custkey::VARCHAR AS doc_id, account, arg_min(label, o_orderkey) AS label, min(o_orderkey) AS first_page, count(*)::BIGINT AS n FROM t GROUP BY ALL""")
 def account_pages(spark: SparkSession, sf: str) -> DataFrame:
-    hosts = _t(spark, sf, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("account"), F.col("page_id").alias("page"))
-    return hosts.groupBy("account").agg(F.min("page").alias("first_page"), F.count(F.lit(1)).alias("n"))
+    """Customers as documents, orders as pages; a fifth of the pages print the account below the header zone."""
+    number = F.concat(F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad((F.col("o_orderkey") % 3).cast("string"), 6, "0"), F.lit("-042"))
+    top = F.when(F.col("o_orderkey") % 5 > 0, 10.0).otherwise(60.0)
+    printed = F.array(F.struct(F.lit(0).alias("line_no"), F.lit(5.0).alias("top"), F.concat(F.lit(" "), "o_orderpriority", F.lit(" Account Detail")).alias("text")), F.struct(F.lit(1).alias("line_no"), top.alias("top"), F.concat(F.lit("Account "), number).alias("text")), F.struct(F.lit(2).alias("line_no"), F.lit(20.0).alias("top"), F.lit("no number").alias("text")))
+    pages = _t(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").alias("page"), F.lit(100.0).alias("height"), F.explode(printed).alias("l"))
+    got = layout.accounts(pages.select("doc_id", "page", "l.*"), pages.select("doc_id", "page", "height").distinct())
+    return got.select("doc_id", "account", "label", F.element_at("pages", 1).alias("first_page"), F.size("pages").cast("bigint").alias("n"))
+
 
+_PAGES = 60
 
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+
+def _brand_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Brands as documents of 60 pages, types as tables on the pages of their sizes."""
+    part = _t(spark, sf, "part")
+    pages = F.sort_array(F.collect_set(F.col("p_size").cast("int")))
+    named = part.groupBy(F.col("p_brand").alias("doc_id"), F.col("p_type").alias("title")).agg(pages.alias("pages"), F.max("p_name").alias("amount_column"))
+    tables = named.withColumn("columns", F.array_repeat(F.lit("c"), (F.length("title") % 4).cast("int")))
+    return tables, tables.select("doc_id").distinct().withColumn("page_count", F.lit(_PAGES))
+
+
+@query(f"""SELECT b.p_brand AS doc_id, i::INT AS page FROM (SELECT DISTINCT p_brand FROM part) b, range(1, {_PAGES + 1}) AS r(i) WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_brand = b.p_brand AND p.p_size = i)""")
 def orphan_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "customer").join(_t(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return sinks.orphan_pages(*_brand_tables(spark, sf))
+
+
+# Words of a statement that lists each customer's orders, forty to a page, closed by a total; (off) by a cent or a unit.
+_ROWS_A_PAGE = 40
+
+
+def _painted(spark: SparkSession, sf: str) -> DataFrame:
+    orders = _t(spark, sf, "orders").select(F.col("o_custkey"), F.col("o_custkey").cast("string").alias("doc_id"), "o_orderkey", _cents("o_totalprice").alias("cents"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("o_orderkey")) - 1
+    off = F.when(F.col("o_custkey") % 3 == 0, 0).when(F.col("o_custkey") % 3 == 1, 1).otherwise(100)
+    rows = orders.withColumn("i", nth)
+    data = rows.select("doc_id", "i", F.array(F.lit("Order"), F.concat(F.lit("K"), F.col("o_orderkey").cast("string"))).alias("label"), _printed(F.col("cents")).alias("shown"), F.lit(9.0).alias("size"))
+    totals = rows.groupBy("doc_id", "o_custkey").agg(F.count(F.lit(1)).cast("int").alias("i"), F.sum("cents").alias("cents"))
+    total = totals.select("doc_id", "i", F.array(F.lit("Total"), F.lit("Orders"), F.lit("Held")).alias("label"), _printed(F.col("cents") + off).alias("shown"), F.lit(9.0).alias("size"))
+    head = totals.select("doc_id", F.lit(-3).alias("i"), F.array(F.lit("ORDERS"), F.lit("HELD")).alias("label"), F.lit("").alias("shown"), F.lit(14.0).alias("size"))
+    lines = data.unionByName(total).unionByName(head).withColumns({"page": (F.greatest(F.col("i"), F.lit(0)) / _ROWS_A_PAGE).cast("int") + 1, "bottom": 120.0 + 14.0 * F.when(F.col("i") < 0, F.col("i")).otherwise(F.col("i") % _ROWS_A_PAGE)})
+    width = F.length("shown") * 4.5
+    amount = F.when(F.col("shown") != "", F.array(F.struct(F.col("shown").alias("text"), (520.0 - width).alias("x0"), F.lit(520.0).alias("x1"))))
+    spoken = F.transform("label", lambda w, i: F.struct(w.alias("text"), (40.0 + 70.0 * i).alias("x0"), (40.0 + 70.0 * i + F.length(w) * 4.5).alias("x1")))
+    each = lines.select("doc_id", "page", F.explode(F.concat(spoken, F.coalesce(amount, F.slice(spoken, 1, 0)))).alias("w"), (F.col("bottom") - F.col("size")).alias("top"), "bottom", "size")
+    return each.select("doc_id", "page", "w.text", "w.x0", "w.x1", "top", "bottom", "size", F.when(F.col("size") > 9, "Helvetica-Bold").otherwise("Helvetica").alias("fontname"), F.lit(True).alias("upright"))
+
+
+_PAINTED_SQL = f"""
+WITH f AS (SELECT o_custkey, count(*) AS n, sum(round(o_totalprice * 100)::BIGINT) AS cents, CASE o_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 100 END AS off FROM orders GROUP BY o_custkey)
+SELECT o_custkey::VARCHAR AS doc_id, 'ORDERS HELD' AS title, n::BIGINT AS data_rows, (n // {_ROWS_A_PAGE} + 1)::BIGINT AS pages, cents::BIGINT AS extracted_cents, (cents + off)::BIGINT AS printed_cents, off = 0 AS passed"""
+
+
+@query(_PAINTED_SQL + """, CASE WHEN off = 0 THEN 'conciliado' WHEN off <= 1 THEN 'não verificável' ELSE 'não conciliado' END AS state FROM f""")
+def painted_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Words to lines, blocks, a table over its pages, typed rows, totals, checks and states."""
+    tables, rows, _ = detect(_painted(spark, sf), year=2026)
+    checks = reconcile.table_checks(rows, tables)
+    proofs = checks.filter("name like 'Σ%'").select("doc_id", "table_no", "passed", *(F.round(F.col(c).try_cast("decimal(28,8)") * 100).cast("bigint").alias(n) for c, n in (("extracted", "extracted_cents"), ("expected", "printed_cents"))))
+    listed = sinks.table_index(reconcile.table_states(tables, checks), rows).select("doc_id", "table_no", "data_rows", "state")
+    shape = tables.select("doc_id", "table_no", "title", F.size("pages").cast("bigint").alias("pages"))
+    return shape.join(listed, ["doc_id", "table_no"]).join(proofs, ["doc_id", "table_no"]).drop("table_no")
+
+
+_PAINTED_SPEC = {
+    "pages": list(range(1, 100)), "amount_column": "amount", "row_start": {"kind": "numeric_in", "column": "amount"}, "total_label_patterns": [r"^Total\s+Orders"], "ignore_patterns": [r"^ORDERS HELD"],
+    "columns": [{"name": "description", "x0": 37, "x1": 300, "type": "text"}, {"name": "amount", "x0": 300, "x1": 523, "type": "amount"}],
+}
+
+
+@query(_PAINTED_SQL.replace("'ORDERS HELD' AS title, ", "").replace(f"(n // {_ROWS_A_PAGE} + 1)::BIGINT AS pages, ", "") + " FROM f")
+def painted_section(spark: SparkSession, sf: str) -> DataFrame:
+    """The same words by a declared section: typed rows, the printed total and its check."""
+    rows, totals, _ = sections.parse_section("orders", ordered.lines(_painted(spark, sf)), _PAINTED_SPEC, 2026)
+    counts = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("data_rows"))
+    checks = sections.internal_checks(rows, totals, _PAINTED_SPEC)
+    cents = (F.round(F.col(c).try_cast("decimal(28,8)") * 100).cast("bigint").alias(n) for c, n in (("extracted", "extracted_cents"), ("expected", "printed_cents")))
+    return checks.select("doc_id", "passed", *cents).join(counts, "doc_id")
 
 
 _CELLS = ["12.5%", "Activity $9.30", "Q3 2016 $5.00", "word", "x9y", "—", "12/8/16", "(1.00)"]
@@ -472,7 +625,7 @@ _CELL_KINDS = ["percent", "glued", "problem", "stray", "problem", "blank", "date
 @query(f"""SELECT [{", ".join(f"'{c}'" for c in _CELLS)}][(l_orderkey % 8 + 1)::INT] AS raw, [{", ".join(f"'{c}'" for c in _CELL_KINDS)}][(l_orderkey % 8 + 1)::INT] AS kind, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL""")
 def cell_kinds(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.get(F.array(*[F.lit(x) for x in _CELLS]), (F.col("l_orderkey") % 8).cast("int"))
-    return _t(spark, sf, "lineitem").select(raw.alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("n")).select("raw", cell_value(F.col("raw"))["kind"].alias("kind"), "n")
+    return _t(spark, sf, "lineitem").select(raw.alias("raw")).withColumn("kind", cell_value(F.col("raw"))["kind"]).groupBy("raw", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -488,12 +641,16 @@ def cell_problems(spark: SparkSession, sf: str) -> DataFrame:
     return got.groupBy(F.col("table_no").cast("bigint").alias("table_no")).agg(F.count_if(F.col("severity") == reconcile.NOTICE).alias("notices"), F.count_if(F.col("severity") == reconcile.ERROR).alias("errors"))
 
 
-@query("""
-SELECT 1 AS part, p_brand AS key, count(*)::BIGINT AS n FROM part GROUP BY p_brand UNION ALL SELECT 2, 'orphans', count(*)::BIGINT FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)
-UNION ALL SELECT 3, l_returnflag, count(*)::BIGINT FROM lineitem GROUP BY l_returnflag""")
+@query(f"""
+WITH t AS (SELECT p_brand, p_type, list_sort(list(DISTINCT p_size)) AS pages, max(p_name) AS amount FROM part GROUP BY ALL),
+k AS (SELECT p_brand, p_size % 3 = 0 AS passed, CASE WHEN p_partkey % 2 = 0 THEN 'erro' ELSE 'aviso' END AS severity, p_size, p_type, p_name FROM part),
+l AS (SELECT p_brand AS doc_id, 1 AS part, pages[1]::INT AS seq, regexp_replace(p_type, '[0-9]', '#', 'g') || ' | ' || array_to_string(pages, ',') || ' | ' || (length(p_type) % 4) || ' | ' || regexp_replace(amount, '[0-9]', '#', 'g') AS line FROM t
+  UNION ALL SELECT b.p_brand, 2, i::INT, 'sem tabela: p.' || i FROM (SELECT DISTINCT p_brand FROM part) b, range(1, {_PAGES + 1}) AS r(i) WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_brand = b.p_brand AND p.p_size = i)
+  UNION ALL SELECT p_brand, 3, 0, s || ' ' || n FROM (SELECT p_brand, CASE WHEN passed THEN 'PASS' WHEN severity = 'erro' THEN 'FAIL' ELSE 'AVISO' END AS s, count(*) AS n FROM k GROUP BY ALL)
+  UNION ALL SELECT p_brand, 4, p_size::INT, regexp_replace(p_type, '[0-9]', '#', 'g') || ' · ' || regexp_replace(p_name, '[0-9]', '#', 'g') FROM k WHERE NOT passed AND severity = 'erro')
+SELECT doc_id, part, seq, line, row_number() OVER (PARTITION BY doc_id ORDER BY part, seq, line)::INT AS no FROM l""")
 def structure_report(spark: SparkSession, sf: str) -> DataFrame:
-    part, items = _t(spark, sf, "part"), _t(spark, sf, "lineitem")
-    listed = part.groupBy(F.col("p_brand").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(1).alias("part"), "key", "n")
-    lost = part.join(items, F.col("p_partkey") == F.col("l_partkey"), "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit(2).alias("part"), F.lit("orphans").alias("key"), "n")
-    states = items.groupBy(F.col("l_returnflag").alias("key")).agg(F.count(F.lit(1)).alias("n")).select(F.lit(3).alias("part"), "key", "n")
-    return listed.unionByName(lost).unionByName(states)
+    """Brands as documents: their tables, pages without one, and a check for each part."""
+    tables, counts = _brand_tables(spark, sf)
+    checks = _t(spark, sf, "part").select(F.col("p_brand").alias("doc_id"), (F.col("p_size") % 3 == 0).alias("passed"), F.when(F.col("p_partkey") % 2 == 0, reconcile.ERROR).otherwise(reconcile.NOTICE).alias("severity"), F.col("p_size").cast("int").alias("page"), F.col("p_type").alias("section"), F.col("p_name").alias("name"))
+    return sinks.structure_report(tables, checks, counts)

@@ -37,6 +37,13 @@ def text_layer(pages: DataFrame) -> DataFrame:
     return facts.withColumn("ratio", F.when(F.col("page_count") > 0, F.col("pages_with_text") / F.col("page_count")).otherwise(0.0))
 
 
+def page_texts(words: DataFrame) -> DataFrame:
+    """Every page up to a document's last one with its text, which may be empty: doc_id, page, text."""
+    every = words.groupBy("doc_id").agg(F.max("page").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(1), "last")).alias("page"))
+    texts = words.groupBy("doc_id", "page").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    return every.join(texts, ["doc_id", "page"], "left")
+
+
 def assert_text_layer(report: DataFrame, least: float = 0.5) -> None:
     """Raise if a document has no text or text on too few pages."""
     bad = report.filter((F.col("pages_with_text") == 0) | (F.col("ratio") < least)).limit(20).collect()

@@ -2,12 +2,13 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
-from statements import layout, lots_statement, main_statement, words
+from statements import Painter, layout, lots_statement, main_statement, words
 
 from ledgerloom.operators import canonical, export
 from ledgerloom.operators import layout as lay
 from ledgerloom.operators.ordered import in_band, lines
 from ledgerloom.operators.sections import SectionError, raise_errors
+from ledgerloom.operators.tables import number_tables
 from ledgerloom.plans.sweep import curated, detect, sweep
 from ledgerloom.sources import sinks
 from ledgerloom.sources.words import funds_table
@@ -59,6 +60,94 @@ def test_canonical_and_export(run, spark):
     assert run.movements.columns[1:] == export.MOVEMENT_COLUMNS
 
 
+def test_two_documents_keep_their_own_layouts(spark):
+    """The second one is printed 100 points lower, of another year, and has a header line inside the first one's band."""
+    low = [(*r[:5], r[5] + 100, r[6] + 100, *r[7:]) for r in main_statement("F1low")]
+    w = words(spark, main_statement(), low)
+    layouts = spark.createDataFrame([("F1", 60.0, 740.0, 2026, None, "2026-01-31"), ("F1low", 160.0, 840.0, 2025, None, None)], "doc_id string, band_top double, band_bottom double, statement_year int, hint string, period_end string")
+    run = sweep(w, layouts=layouts)
+    states = {(r["doc_id"], r["title"]): r["state"] for r in run.states.collect()}
+    assert len(states) == 10 and set(states.values()) == {"conciliado"}
+    days = {r["doc_id"]: r["d"] for r in run.positions["nao"].groupBy("doc_id").agg(F.max("DT_POSICAO").alias("d")).collect()}
+    assert str(days["F1"]) == "2026-01-31" and days["F1low"] is None
+    notes = [(c["doc_id"], c["name"]) for c in run.warnings().collect() if c["name"] == "data da posição"]
+    assert notes == [("F1low", "data da posição")] and run.summaries.count() == 0
+
+
+def test_proposed_layouts_are_of_each_document(spark):
+    from ledgerloom.cli import propose_layouts
+
+    low = [(*r[:5], r[5] + 100, r[6] + 100, *r[7:]) for r in main_statement("F1low")]
+    got = propose_layouts(words(spark, main_statement(), low))
+    assert got["F1low"]["body_band"]["bottom"] - got["F1"]["body_band"]["bottom"] == pytest.approx(100, abs=2)
+    assert got["F1"]["sections"]["income"]["pages"] == [5] == got["F1low"]["sections"]["income"]["pages"]
+
+
+def test_a_table_that_is_dropped_leaves_a_note(spark):
+    p = Painter("N1", 1)
+    p.text(1, 90, 40, "ODD LIST", 13, True)
+    for i in range(7):  # a column in which text outnumbers the numbers
+        p.text(1, 120 + 14 * i, 40, f"row {chr(97 + i)}")
+        p.right(1, 120 + 14 * i, 300, "1,000.00" if i in (0, 3, 6) else "see over")
+    run = sweep(words(spark, p.rows), band=BAND, year=2026, period_end="2026-01-31")
+    notes = run.warnings().filter("name in ('tabela ignorada', 'bloco ignorado')").collect()
+    assert run.tables.count() == 0 and len(notes) == 1 and "ODD LIST" in notes[0]["detail"]
+
+
+def test_wrong_field_sources_are_caught(spark):
+    tables, rows, _ = detect(words(spark, lots_statement()), band=BAND, year=2016)
+    good = canonical.dataset_checks(canonical.build_datasets(rows, tables), rows, tables)
+    assert good.filter("not passed").count() == 0 and good.count() == 1
+    wrong = canonical.FIELD_SOURCES | {"valor_mercado": ["^trade_date$"]}
+    bad = canonical.dataset_checks(canonical.build_datasets(rows, tables, sources=wrong), rows, tables, sources=wrong)
+    assert bad.filter("not passed").count() > 0
+    lost = canonical.build_datasets(rows, tables)
+    lost["posicoes"] = lost["posicoes"].limit(0)
+    assert [c["severity"] for c in canonical.dataset_checks(lost, rows, tables).filter("not passed").collect()] == ["erro"]
+
+
+def _tables_one_by_one(blocks):
+    """The rules of ``number_tables``, block after block."""
+    out, opened, before = {}, {}, {}
+    for page, block, account, titles, n_bands, n_numeric in sorted(blocks, key=lambda b: b[:2]):
+        last = before.get(account)
+        path = [t for t in titles or [] if t] or (last[1] if last and page - last[0] <= 1 else ["SEM TÍTULO"])
+        before[account] = (page, path)
+        number = None
+        if n_bands:
+            same = [k for k in opened if k[:2] == (account, path[-1])]
+            key = (account, path[-1], n_bands)
+            if key not in opened and n_numeric < 3 and same:
+                key = same[0]
+            number = opened.setdefault(key, len(opened))
+        out[page, block] = (number, path)
+    return out
+
+
+def test_blocks_become_tables(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = {f"d{i}": [(page, b, rng.choice(["x", "y", None]), rng.choice([None, [], ["A"], ["A", "B"], ["", "B"]]), rng.randrange(4), rng.randrange(1, 6)) for page in sorted(rng.sample(range(1, 9), 6)) for b in range(rng.randrange(1, 4))] for i in range(25)}
+    df = spark.createDataFrame([(d, *b, "first") for d, bs in docs.items() for b in bs], "doc_id string, page int, block int, account string, titles array<string>, n_bands int, n_numeric int, first_text string")
+    got = {}
+    for r in number_tables(df).collect():
+        got.setdefault(r["doc_id"], {})[r["page"], r["block"]] = (r["table_no"], r["path"])
+        assert (r["note"] is None) == (r["table_no"] is not None) and r["title"] == r["path"][-1]
+    assert got == {d: _tables_one_by_one(bs) for d, bs in docs.items()}
+
+
+def test_words_without_text_are_refused(spark):
+    from ledgerloom.sources.words import ScannedDocumentError, assert_text_layer, page_texts, text_layer
+
+    rows = [r for r in main_statement() if r[1] in (1, 6)]
+    report = text_layer(page_texts(words(spark, rows)))
+    assert report.first()["pages_with_text"] == 2 and report.first()["page_count"] == 6
+    with pytest.raises(ScannedDocumentError):
+        assert_text_layer(report)
+    assert_text_layer(text_layer(page_texts(words(spark, main_statement()))))
+
+
 def test_lots_collapse_to_positions(spark):
     tables, rows, _ = detect(words(spark, lots_statement()), band=BAND, year=2016)
     one = tables.collect()
