@@ -28,7 +28,7 @@ def test_line_dedup_removes_lines_of_many_sites_and_nothing_else(spark):
 
 def test_line_dedup_of_clashing_columns_null_keys_and_long_texts(spark):
     long = "\n".join(f"line {i}" for i in range(20_000)) + "\nbanner\n" + "x" * 300_000
-    rows = [(i, "banner\nown", f"s{i}") for i in range(12)] + [(None, "banner\nown", "s1"), (None, "banner\nown", "s1"), (50, long, None)]
+    rows = [(i, f"banner\nown {i}", f"s{i}") for i in range(12)] + [(None, "banner\nown x", "s1"), (None, "banner\nown x", "s1"), (50, long, None)]
     df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit(1) for c in ("doc_key", "doc_key_gone", "DOC_KEY_2")})
     got = line_dedup.remove_boilerplate(df)
     assert got.columns == [*df.columns, "n_lines", "n_removed"]
