@@ -46,6 +46,11 @@ def _money(cents) -> F.Column:
     return (cents.cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)")).cast("decimal(28,2)")
 
 
+def _floor(c) -> F.Column:
+    """Floor of a double as a double: Spark's is a bigint, which has neither NaN nor infinity and ends at 2^63."""
+    return F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(F.col(c))
+
+
 def _printed(cents) -> F.Column:
     """$1,234.56, or ($1,234.56) if negative."""
     whole = F.format_number(F.abs(cents).cast("decimal(20,0)") / F.lit(100).cast("decimal(3,0)"), 2)
@@ -182,7 +187,7 @@ b AS (SELECT user_id, c, min(x0) - 3 AS a, max(x1) + 3 AS b, count(*)::BIGINT AS
 w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY a, b) - 1 AS band, lag(b) OVER (PARTITION BY user_id ORDER BY a, b) AS pb, lead(a) OVER (PARTITION BY user_id ORDER BY a, b) AS na FROM b)
 SELECT user_id, band::INT AS band, round(coalesce((pb + a) / 2, a), 1) AS x0, round(coalesce((b + na) / 2, b), 1) AS x1, n FROM w""")
 def column_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = _t(spark, sf, "events").filter("value is not null").select("user_id", (F.floor("value") - F.lit(5.0)).alias("x0"), F.floor("value").cast("double").alias("x1"))
+    tokens = _t(spark, sf, "events").filter("value is not null").select("user_id", (_floor("value") - F.lit(5.0)).alias("x0"), _floor("value").alias("x1"))
     return ordered.column_bands(tokens, ["user_id"]).select("user_id", "band", F.round("x0", 1).alias("x0"), F.round("x1", 1).alias("x1"), "n")
 
 

@@ -26,5 +26,16 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(map(repr, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def test_column_clusters_keeps_edges_that_no_bigint_holds(spark, tmp_path):
+    values = [3.2, 4.7, float("nan"), float("nan"), float("inf"), float("inf"), 1e19, 1e19, -1e19, -1e19, -8.2, -0.5]
+    rows = [(i % 2, v) for v in values for i in range(4)] + [(None, 1.5), (None, 2.5), (None, None)]
+    spark.createDataFrame(rows, "user_id bigint, value double").write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect(config={"threads": 1})
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = db.execute(ORACLE_SQL["column_clusters"]).fetchall()
+    got = [tuple(r) for r in QUERIES["column_clusters"](spark, str(tmp_path)).collect()]
+    assert len(want) == 7 and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
